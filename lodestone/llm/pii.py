@@ -144,7 +144,7 @@ def _occurrences(table: DataFrame) -> DataFrame:
     form = F.concat_ws("|", F.lit("form"), F.regexp_extract("value", "^[A-Za-z]{0,4}", 0), F.least(F.length("value"), F.lit(64)), has("[a-z]"), has("[A-Z]"), has("[^A-Za-z0-9]"))
     return one.select(
         "uid", "start", "end", "base", F.xxhash64("value").alias("instance"), (F.col("base") | _mixed(F.col("value"))).alias("seed"),
-        F.length("value").alias("size"), F.length(_digits(F.col("value"))).alias("n_digits"),
+        F.length("value").alias("size"), F.length(_digits(F.col("value"))).alias("n_digits"), F.col("value").rlike("[A-Za-z]").alias("lettered"),
         F.array(F.xxhash64(F.lit("left"), "left"), F.xxhash64(form)).alias("patterns"),
     )
 
@@ -172,7 +172,7 @@ def extended(docs: DataFrame, keep: list[str]) -> DataFrame:
     occurrences = _occurrences(table)
     good = confident(occurrences)
     marked = (
-        occurrences.where(~F.col("base") & (F.col("size") >= 6) & (F.col("n_digits") >= 2))
+        occurrences.where(~F.col("base") & (F.col("size") >= 6) & (F.col("n_digits") >= 2) & F.col("lettered"))
         .select("uid", "start", "end", F.explode("patterns").alias("pattern"))
         .join(if_small(good.select("pattern")), "pattern")
         .select("uid", "start", "end").distinct()
