@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a long key alone may be broadcast; such a row
-#: costs under 64 bytes in the hash relation, so the bound is 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: costs under 64 bytes in the hash relation, so the bound is 13 MB; building
+#: it takes the driver several times that.
+BROADCAST_ROWS = 200_000
 
 _written: list[tuple[SparkSession, str]] = []
 
