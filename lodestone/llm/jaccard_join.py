@@ -45,6 +45,8 @@ from lodestone.llm.textvec import chunked, lists, mix, signed, utf8
 
 #: Entries multiplied of each row beyond the d that a partner may lack, as a share of its size.
 EXTRA = 0.06
+#: Longs of a row's sketch.
+SKETCH = 8
 
 
 def extra(n: np.ndarray) -> np.ndarray:
@@ -73,9 +75,15 @@ def _name(own: np.ndarray) -> np.uint64:
     return mix(np.array([mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64))[0]
 
 
+def parity(own: np.ndarray, longs: int) -> np.ndarray:
+    """The parity sketch of a set (see links.py)."""
+    odd = np.bincount((own & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), node (hash of the set), need (least overlap inside the part) and part (the multiplied entries,
-    none for a set that its task has seen before)."""
+    """doc_id, n (set size), node (hash of the set), need (least overlap inside the part), part (the multiplied entries, none for
+    a set that its task has seen before) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -90,10 +98,10 @@ def rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     seen.add(name)
                 cut = np.concatenate(([0], np.cumsum(size)))
                 flat = np.concatenate([*(s[:p] for s, p in zip(sets, size, strict=True)), np.zeros(0, np.uint64)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n), pa.array(signed(names)), pa.array(need), lists(signed(flat), cut)], ["doc_id", "n", "node", "need", "part"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n), pa.array(signed(names)), pa.array(need), lists(signed(flat), cut), lists(np.concatenate([parity(s, SKETCH) for s in sets]), np.arange(len(n) + 1) * SKETCH)], ["doc_id", "n", "node", "need", "part", "sketch"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, n long, node long, need long, part array<long>")
+    return read.mapInArrow(run, "doc_id long, n long, node long, need long, part array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -111,12 +119,14 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _kept_columns(table: DataFrame) -> DataFrame:
-    """Blocks (block, node, n): the rare shared columns of each row that pass its bounds."""
-    entries = table.where("n > 0 and doc_id is not null").select("node", "n", "need", F.explode("part").alias("block"))
+    """Blocks (block, node, n, rank): the rare shared columns of each row that
+    pass its bounds; rank: the entries of the part that no other row has."""
+    entries = table.where("n > 0 and doc_id is not null").select("node", "n", "need", F.size("part").alias("size"), F.explode("part").alias("block"))
     shared = entries.groupBy("block").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high").select("block", "df")
-    held = entries.join(shared, "block").groupBy("node", "n", "need").agg(F.array_sort(F.collect_set(F.struct("df", "block"))).alias("columns"))
+    held = entries.join(shared, "block").groupBy("node", "n", "need", "size").agg(F.array_sort(F.collect_set(F.struct("df", "block"))).alias("columns"))
     keep = F.size("columns") - F.col("need") + 1
-    return held.where(keep > 0).select("node", "n", F.explode(F.slice("columns", F.lit(1), keep.cast("int"))).alias("c")).select(F.col("c.block").alias("block"), "node", "n")
+    held = held.where(keep > 0).select("node", "n", (F.col("size") - F.size("columns")).alias("rank"), F.explode(F.slice("columns", F.lit(1), keep.cast("int"))).alias("c"))
+    return held.select(F.col("c.block").alias("block"), "node", "n", "rank")
 
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -130,7 +140,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     chosen = written(table.select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "chosen")
     sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(if_small(chosen), "doc_id", "left_semi")
     sets = written(full_sets(sources, k).dropDuplicates(["node"]), "sets")
-    found = linked_components(blocks, percent, lambda pairs: verified(pairs, sets, percent))
+    found = linked_components(blocks, table.select("node", "sketch"), SKETCH, percent, lambda pairs: verified(pairs, sets, percent))
     labelled = table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node", "left").withColumn("group", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "node")))
     names = labelled.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     return labelled.join(names, "group", "left").select("doc_id", "n_shingles", "node", F.coalesce("least", "doc_id").alias("component_id"))

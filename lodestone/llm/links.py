@@ -5,13 +5,20 @@ Used by the n-gram join and by paragraph deduplication.  A member is a set
 blocks; two members can only be similar if they share a block.  To find the
 connected components of "similar":
 
-1. Stars: each member is verified against one leader, the least member of the
-   block it shares with most others.  A group of near copies, however large,
-   becomes one component with a number of pairs in proportion to its members.
+1. Stars: each member is verified against one leader, the member of least rank
+   of the blocks it shares with it most.  The rank tells how far a member is
+   from what others hold, so the original of a group of near copies leads it,
+   and the group, however large, becomes one component with a number of pairs
+   in proportion to its members.
 2. Crosses: only members of the same block that are still in different
    components can add anything.  In each block the members outside its largest
-   component are paired with the members of other components, size bounds
-   first; these pairs are verified too.
+   component are paired with the members of other components, if the bounds
+   allow it: sizes, and the sketches below; these pairs are verified too.
+
+A sketch is the parity of a set's items by hash bucket.  Common items cancel
+out in the exclusive or of two sketches, so its bits are at most as many as
+the items that only one set holds, and similar sets cannot differ in more than
+the threshold allows for their sizes.
 
 No pair that could join two components is left out, so the components are
 those of all links, though links inside a component need not be listed.
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import components, if_small, written
 
 #: Shares into which a block's rows are dealt for the pairing.
-SALTS = 16
+SALTS = 4
 
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -40,6 +47,12 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def sketches_allow(a: Column, b: Column, na: Column, nb: Column, longs: int, percent: int) -> Column:
+    """Whether sets with these sketches can be that similar: |A ^ B| (100 + percent) <= (100 - percent) (|A| + |B|)."""
+    bits = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(longs)), F.lit(0))
+    return bits * (100 + percent) <= (100 - percent) * (na + nb)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets (node, items) are similar: exact sizes of the intersections."""
     one = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
@@ -49,18 +62,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(similar(shared, F.size("items_a"), F.size("items_b"), percent)).select("a", "b")
 
 
-def linked_components(blocks: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows (node, component) for the members with a link; blocks: (block, node, n), n the set's size.
+def linked_components(blocks: DataFrame, sketches: DataFrame, longs: int, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (node, component) for the members with a link; blocks: (block,
+    node, n, rank), n the set's size; sketches: (node, sketch), an array of so
+    many longs.
 
     verify keeps the similar ones of pairs (a, b).  blocks is read several
     times and should be a written table.
     """
     # blocks of one member say nothing
-    heads = written(blocks.groupBy("block").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"), F.count(F.lit(1)).alias("held")).where(F.col("lead.node") != F.col("last")).select("block", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), "held"), "heads")
-    blocks = written(blocks.join(if_small(heads.select("block")), "block"), "blocks")
-    near = blocks.join(heads, "block").where((F.col("node") != F.col("lead")) & sizes_allow(F.col("n"), F.col("lead_n"), percent))
-    counted = near.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("times"))
-    best = counted.groupBy("node").agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("lead"))
+    heads = blocks.groupBy("block").agg(F.min(F.struct("rank", "node", "n")).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    heads = written(heads.select("block", F.col("lead.rank").alias("lead_rank"), F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "heads")
+    blocks = written(blocks.join(if_small(heads), "block"), "blocks")
+    near = blocks.where((F.col("node") != F.col("lead")) & sizes_allow(F.col("n"), F.col("lead_n"), percent))
+    counted = near.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("times"), F.min("lead_rank").alias("lead_rank"))
+    best = counted.groupBy("node").agg(F.max_by("lead", F.struct("times", -F.col("lead_rank"), "lead")).alias("lead"))
     stars = written(verify(best.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "stars")
     first = written(components(stars), "star-components")
     # members in the blocks, with the component each has so far
@@ -74,9 +90,13 @@ def linked_components(blocks: DataFrame, percent: int, verify: Callable[[DataFra
     if mixed.isEmpty():
         return first
     # the right side is dealt over SALTS, the left one is small: what is outside the block's main component
-    left = mixed.where("component <> main").select("block", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    right = mixed.select("block", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
-    crossing = left.join(right, ["block", "salt"]).where((F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & sizes_allow(F.col("na"), F.col("nb"), percent))
+    marked = written(sketches.join(if_small(written(mixed.select("node").distinct(), "mixed-nodes")), "node").dropDuplicates(["node"]), "sketches")
+    mixed = mixed.join(marked, "node")
+    left = mixed.where("component <> main").select("block", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    right = mixed.select("block", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), (F.col("component") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    apart = (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b")))
+    possible = sizes_allow(F.col("na"), F.col("nb"), percent) & sketches_allow(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), longs, percent)
+    crossing = left.join(right, ["block", "salt"]).where(apart & possible)
     pairs = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crosses")
     more = verify(pairs)
     return components(stars.unionByName(more))
