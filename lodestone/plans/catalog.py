@@ -407,7 +407,7 @@ def t05_radius(t: Tables) -> DataFrame:
     return search.probe_distances(f, probe, sc.hamming(_B, [f"q{i}" for i in range(4)])).where("distance <= 110").select("doc_id")
 
 
-_BM = f"""WITH d AS (SELECT doc_id, {_TOK} AS ws FROM documents), z AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM d), p AS (SELECT doc_id, len(ws) AS dl, term, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS term FROM d) WHERE term IN ('the', 'and', 'idiot', 'version') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), b AS (SELECT doc_id, CAST(sum(round_even(100 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)), 0)) AS BIGINT) AS score FROM p JOIN f USING (term), z GROUP BY 1)"""
+_BM = f"""WITH d AS (SELECT doc_id, {_TOK} AS ws FROM documents), z AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM d), p AS (SELECT doc_id, len(ws) AS dl, term, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS term FROM d) WHERE term IN ('the', 'and', 'idiot', 'version') GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM p GROUP BY 1), b AS (SELECT doc_id, CAST(sum(round_even(100 * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)), 0)) AS BIGINT) AS score FROM p JOIN dfs USING (term), z GROUP BY 1)"""
 _QUERY = ("the", "and", "idiot", "version")
 
 
@@ -441,7 +441,7 @@ def t09_diversified(t: Tables) -> DataFrame:
     return search.diversified(pool, 20, 0.7)
 
 
-@query(_BM + f", l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 32), " + _FP_SQL[5:] + ", p AS (SELECT b0 AS q0, b1 AS q1, b2 AS q2, b3 AS q3 FROM f WHERE doc_id = 1), h AS (SELECT doc_id, row_number() OVER (ORDER BY CAST(bit_count(xor(b0, q0)) AS BIGINT) + bit_count(xor(b1, q1)) + bit_count(xor(b2, q2)) + bit_count(xor(b3, q3)), doc_id) AS rank FROM f, p ORDER BY rank LIMIT 32), u AS (SELECT doc_id, 0.4 / (60 + rank) AS m, 1 AS lane FROM l UNION ALL SELECT doc_id, 0.6 / (60 + rank), 2 FROM h), g AS (SELECT doc_id, sum(m) AS s, CAST(bit_or(lane) AS BIGINT) AS lanes FROM u GROUP BY 1 ORDER BY round(s, 9) DESC, doc_id LIMIT 10) SELECT g.doc_id, round(s, 9) AS score, lanes, lang, n_chars FROM g JOIN documents USING (doc_id)".replace("f AS (SELECT doc_id, lang, source", "ff AS (SELECT 1), f AS (SELECT doc_id, lang, source").replace(", f AS (SELECT term, count", ", f0 AS (SELECT term, count").replace("JOIN f USING (term)", "JOIN f0 USING (term)"))
+@query(_BM + f", l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 32), " + _FP_SQL[5:] + ", pr AS (SELECT b0 AS q0, b1 AS q1, b2 AS q2, b3 AS q3 FROM f WHERE doc_id = 1), h AS (SELECT doc_id, row_number() OVER (ORDER BY CAST(bit_count(xor(b0, q0)) AS BIGINT) + bit_count(xor(b1, q1)) + bit_count(xor(b2, q2)) + bit_count(xor(b3, q3)), doc_id) AS rank FROM f, pr ORDER BY rank LIMIT 32), u AS (SELECT doc_id, 0.4 / (60 + rank) AS m, 1 AS lane FROM l UNION ALL SELECT doc_id, 0.6 / (60 + rank), 2 FROM h), g AS (SELECT doc_id, sum(m) AS s, CAST(bit_or(lane) AS BIGINT) AS lanes FROM u GROUP BY 1 ORDER BY round(s, 9) DESC, doc_id LIMIT 10) SELECT g.doc_id, round(s, 9) AS score, lanes, lang, n_chars FROM g JOIN documents USING (doc_id)")
 def q01_hybrid_recall(t: Tables) -> DataFrame:
     d = t("documents")
     lexical = search.ranked(search.top(search.bm25(d, _QUERY), "score", 32, "doc_id"), "score", "doc_id")
