@@ -10,10 +10,13 @@ connected components of "similar":
    from what others hold, so the original of a group of near copies leads it,
    and the group, however large, becomes one component with a number of pairs
    in proportion to its members.
-2. Crosses: only members of the same block that are still in different
+2. Stars by sketch: members of blocks that are still in several components are
+   verified against the nearest, by the sketches below, of some leads of their
+   blocks, in a few rounds.
+3. Crosses: only members of the same block that are still in different
    components can add anything.  In each block the members outside its largest
    component are paired with the members of other components, if the bounds
-   allow it: sizes, and the sketches below; these pairs are verified too.
+   allow it: sizes and sketches; these pairs are verified too.
 
 A sketch is the parity of a set's items by hash bucket.  Common items cancel
 out in the exclusive or of two sketches, so its bits are at most as many as
@@ -35,6 +38,9 @@ from lodestone.llm.common import components, if_small, written
 
 #: Shares into which a block's rows are dealt for the pairing.
 SALTS = 4
+#: Leads of a block in a round of stars by sketch, and such rounds.
+LEADS = 32
+ROUNDS = 2
 
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -47,10 +53,14 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _bits(a: Column, b: Column, longs: int) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(longs)), F.lit(0))
+
+
 def sketches_allow(a: Column, b: Column, na: Column, nb: Column, longs: int, percent: int) -> Column:
     """Whether sets with these sketches can be that similar: |A ^ B| (100 + percent) <= (100 - percent) (|A| + |B|)."""
-    bits = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(longs)), F.lit(0))
-    return bits * (100 + percent) <= (100 - percent) * (na + nb)
+    return _bits(a, b, longs) * (100 + percent) <= (100 - percent) * (na + nb)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -62,6 +72,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(similar(shared, F.size("items_a"), F.size("items_b"), percent)).select("a", "b")
 
 
+def _unsettled(blocks: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows of the blocks (block, node, n, rank) whose members are in several components, with
+    each member's component and the block's main one, which holds most of its members."""
+    placed = written(blocks.join(first, "node", "left").select("block", "node", "n", "rank", F.coalesce("component", "node").alias("component")), "placed")
+    per = placed.groupBy("block", "component").agg(F.count(F.lit(1)).alias("held"))
+    main = per.groupBy("block").agg(F.max(F.struct("held", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("block", F.col("top.component").alias("main"))
+    return written(placed.join(main, "block"), "mixed")
+
+
+def _nearest_leads(mixed: DataFrame, longs: int, percent: int, seed: int) -> DataFrame:
+    """Pairs (a, b): each member outside the main component of a block, and of up to LEADS leads of
+    each of its blocks the one with the nearest sketch that the bounds allow.
+
+    The members of a block are dealt over LEADS and the one of least rank leads of each deal, so
+    a block's leads are a bounded list and a member's choice stays one row of the join.
+    """
+    deal = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(LEADS))
+    dealt = mixed.groupBy("block", deal.alias("deal")).agg(F.min(F.struct("rank", "node", "n", "component", "sketch")).alias("lead"))
+    leads = dealt.groupBy("block").agg(F.collect_list("lead").alias("leads"))
+
+    def possible(x: Column) -> Column:
+        return (x["component"] != F.col("component")) & sizes_allow(F.col("n"), x["n"], percent) & sketches_allow(F.col("sketch"), x["sketch"], F.col("n"), x["n"], longs, percent)
+
+    def choice(x: Column) -> Column:
+        return F.struct(_bits(F.col("sketch"), x["sketch"], longs).alias("bits"), x["node"].alias("lead"))
+
+    seeking = mixed.where("component <> main").join(leads, "block")
+    best = seeking.select("node", F.array_min(F.transform(F.filter("leads", possible), choice)).alias("best")).where("best is not null")
+    return best.groupBy("node").agg(F.min("best").alias("best")).select(F.col("node").alias("a"), F.col("best.lead").alias("b"))
+
+
 def linked_components(blocks: DataFrame, sketches: DataFrame, longs: int, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (node, component) for the members with a link; blocks: (block,
     node, n, rank), n the set's size; sketches: (node, sketch), an array of so
@@ -79,18 +120,18 @@ def linked_components(blocks: DataFrame, sketches: DataFrame, longs: int, percen
     best = counted.groupBy("node").agg(F.max_by("lead", F.struct("times", -F.col("lead_rank"), "lead")).alias("lead"))
     stars = written(verify(best.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "stars")
     first = written(components(stars), "star-components")
-    # members in the blocks, with the component each has so far
-    placed = written(
-        blocks.join(first, "node", "left").select("block", "node", "n", F.coalesce("component", "node").alias("component")),
-        "placed",
-    )
-    per = placed.groupBy("block", "component").agg(F.count(F.lit(1)).alias("held"))
-    main = per.groupBy("block").agg(F.max(F.struct("held", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("block", F.col("top.component").alias("main"))
-    mixed = written(placed.join(main, "block"), "mixed")
+    mixed = _unsettled(blocks.select("block", "node", "n", "rank"), first)
     if mixed.isEmpty():
         return first
-    # the right side is dealt over SALTS, the left one is small: what is outside the block's main component
     marked = written(sketches.join(if_small(written(mixed.select("node").distinct(), "mixed-nodes")), "node").dropDuplicates(["node"]), "sketches")
+    for seed in range(ROUNDS):
+        more = verify(_nearest_leads(mixed.join(marked, "node"), longs, percent, seed))
+        stars = written(stars.unionByName(more), "stars")
+        first = written(components(stars), "star-components")
+        mixed = _unsettled(mixed.drop("component", "main"), first)
+        if mixed.isEmpty():
+            return first
+    # the right side is dealt over SALTS, the left one is small: what is outside the block's main component
     mixed = mixed.join(marked, "node")
     left = mixed.where("component <> main").select("block", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     right = mixed.select("block", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), (F.col("component") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
