@@ -142,7 +142,8 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     sets = written(full_sets(sources, k).dropDuplicates(["node"]), "sets")
     found = linked_components(blocks, table.select("node", "sketch"), SKETCH, percent, lambda pairs: verified(pairs, sets, percent))
     labelled = table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node", "left").withColumn("group", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "node")))
-    names = labelled.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    # a table of its own, so that a hot group's rows can be split in the join
+    names = written(labelled.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")), "names")
     return labelled.join(names, "group", "left").select("doc_id", "n_shingles", "node", F.coalesce("least", "doc_id").alias("component_id"))
 
 
