@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,25 +11,7 @@ from lodestone.functions import scalars as sc
 from lodestone.operators import datasets as ds
 from lodestone.operators import mining, search, statistics, temporal
 from lodestone.operators import predicates as pr
-
-Tables = Callable[[str], DataFrame]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(c: object) -> F.Column:
-    return F.round(c, 6)
-
+from lodestone.plans.registry import ORACLES, QUERIES, Tables, query, r6
 
 R = "WITH " + schema.RECORDS_SQL
 
@@ -182,9 +162,9 @@ def j07_lag_pairs(t: Tables) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem)
-SELECT a.l_partkey AS part, a.l_orderkey AS a_order, a.l_linenumber AS a_line, b.l_orderkey AS b_order, b.l_linenumber AS b_line FROM f a JOIN f b ON a.l_partkey = b.l_partkey AND a.l_returnflag <> b.l_returnflag AND (a.l_orderkey, a.l_linenumber) < (b.l_orderkey, b.l_linenumber) WHERE a.l_partkey % 50 = 7""")
+SELECT a.l_partkey AS part, a.l_orderkey AS a_order, a.l_linenumber AS a_line, b.l_orderkey AS b_order, b.l_linenumber AS b_line FROM f a JOIN f b ON a.l_partkey = b.l_partkey AND a.l_returnflag <> b.l_returnflag AND (a.l_orderkey, a.l_linenumber) < (b.l_orderkey, b.l_linenumber)""")
 def j08_conflict_pairs(t: Tables) -> DataFrame:
-    f = t("lineitem").where("l_partkey % 50 = 7").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    f = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     a, b = f.toDF("a_order", "a_line", "part", "fa"), f.toDF("b_order", "b_line", "part", "fb")
     return a.join(b, "part").where((F.col("fa") != F.col("fb")) & (F.struct("a_order", "a_line") < F.struct("b_order", "b_line"))).select("part", "a_order", "a_line", "b_order", "b_line")
 
@@ -340,10 +320,18 @@ def a49_document_frequency(t: Tables) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", r6(F.greatest(F.lit(0.0), F.log((F.col("n_docs") + 1) / (F.col("df") + 1)))).alias("idf"))
 
 
-@query("SELECT lang, sha256(coalesce(string_agg(sha256(doc_id || ':' || text), '' ORDER BY doc_id), '')) AS root FROM documents WHERE doc_id < 200 GROUP BY 1")
+_LEAF = "SELECT lang, doc_id AS k, sha256(doc_id || ':' || coalesce(text, '')) AS h FROM documents"
+_LEVEL = "SELECT lang, k // 256 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM ({}) GROUP BY lang, k // 256"
+
+
+@query(f"SELECT lang, sha256(string_agg(h, '' ORDER BY k)) AS root FROM ({_LEVEL.format(_LEVEL.format(_LEVEL.format(_LEAF)))}) GROUP BY lang")
 def a51_merkle(t: Tables) -> DataFrame:
-    leaf = t("documents").where("doc_id < 200").select("lang", "doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text"), 256).alias("h"))
-    return leaf.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("hs")).select("lang", F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), ""), 256).alias("root"))
+    """A tree of fan-in 256, so no group grows with the table until the root has 2**24 documents below each child."""
+    level = t("documents").select("lang", F.col("doc_id").alias("k"), F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), 256).alias("h"))
+    rolled = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256)
+    for _ in range(3):
+        level = level.groupBy("lang", F.expr("k div 256").alias("parent")).agg(rolled.alias("h")).withColumnRenamed("parent", "k")
+    return level.groupBy("lang").agg(rolled.alias("root"))
 
 
 # --- windows
@@ -476,10 +464,9 @@ def x12_digest(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT event_id, (CAST(user_id & 255 AS BIGINT) << 56) | (CAST(event_id & 65535 AS BIGINT) << 40) | ((epoch_us(ts) // 1000) & 1099511627775) AS packed FROM events WHERE user_id & 255 < 128")
+@query("SELECT event_id, CASE WHEN user_id & 255 > 127 THEN (user_id & 255) - 256 ELSE user_id & 255 END * 72057594037927936 + ((CAST(event_id & 65535 AS BIGINT) << 40) | ((epoch_us(ts) // 1000) & 1099511627775)) AS packed FROM events")
 def d02_packed_clock(t: Tables) -> DataFrame:
-    e = t("events").where("(user_id & 255) < 128")
-    return e.select("event_id", sc.hlc_packed(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id").bitwiseAND(F.lit(65535)), F.col("user_id")).alias("packed"))
+    return t("events").select("event_id", sc.hlc_packed(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id").bitwiseAND(F.lit(65535)), F.col("user_id")).alias("packed"))
 
 
 @query("SELECT a.n_name AS a, b.n_name AS b, round(least(1.0, (length(a.n_name) - l + length(b.n_name) - l) / greatest(length(a.n_name), length(b.n_name), 1)), 6) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey, LATERAL (SELECT coalesce(list_max(list_filter(range(0, least(length(a.n_name), length(b.n_name)) + 1), lambda i: left(a.n_name, CAST(i AS BIGINT)) = left(b.n_name, CAST(i AS BIGINT)))), 0) AS l)")
@@ -526,7 +513,7 @@ def g14_closure(t: Tables) -> DataFrame:
 
 def _trade(t: Tables) -> DataFrame:
     """Suppliers linked through the parts of one order."""
-    li = t("lineitem").where("l_orderkey % 400 = 0").select("l_orderkey", "l_suppkey").distinct()
+    li = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
     return mining.undirected(li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey"), "l_suppkey", "other")
 
 
@@ -535,15 +522,15 @@ def g01_centrality(t: Tables) -> DataFrame:
     return mining.eigenvector(mining.cut(_trade(t)), 6).select("id", r6("x").alias("centrality"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey % 400 = 0), e AS (SELECT DISTINCT a.s AS src, b.s AS dst FROM l a JOIN l b ON a.o = b.o AND a.s <> b.s), r AS (SELECT DISTINCT src AS id, src AS seen FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON r.seen = e.src) SELECT id, min(seen) AS community FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), e AS (SELECT DISTINCT a.s AS src, b.s AS dst FROM l a JOIN l b ON a.o = b.o AND a.s <> b.s), r AS (SELECT DISTINCT src AS id, src AS seen FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON r.seen = e.src) SELECT id, min(seen) AS community FROM r GROUP BY 1""")
 def g05_communities(t: Tables) -> DataFrame:
-    li = t("lineitem").where("l_orderkey % 400 = 0").select("l_orderkey", "l_suppkey").distinct()
+    li = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
     return mining.communities(mining.undirected(li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey"), "l_suppkey", "other"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey % 400 = 0), e AS (SELECT DISTINCT a.s AS src, b.s AS dst FROM l a JOIN l b ON a.o = b.o AND a.s <> b.s), r AS (SELECT (SELECT min(src) FROM e) AS id, 0 AS hop UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON r.id = e.src WHERE r.hop < 3) SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), e AS (SELECT DISTINCT a.s AS src, b.s AS dst FROM l a JOIN l b ON a.o = b.o AND a.s <> b.s), r AS (SELECT (SELECT min(src) FROM e) AS id, 0 AS hop UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON r.id = e.src WHERE r.hop < 3) SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY 1""")
 def j16_neighbourhood(t: Tables) -> DataFrame:
-    li = t("lineitem").where("l_orderkey % 400 = 0").select("l_orderkey", "l_suppkey").distinct()
+    li = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
     e = mining.undirected(li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey"), "l_suppkey", "other")
     return mining.neighbourhood(e, e.agg(F.min("src").alias("id")), 3)
 

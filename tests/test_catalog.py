@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import catalog
+from lodestone.plans import catalog, measures  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SOME = ["s01_scan", "s06_upsert", "f19_default_filters", "f23_bit_fields", "j01_rank_fusion", "j07_lag_pairs", "a01_column_statistics", "a05_cooccurrence", "a17_current_state", "a29_mutual_information", "a30_divergence", "w04_modified_z", "t07_bm25", "q01_hybrid_recall", "g09_rules", "r25_field_last_writer"]
+SOME = ["s01_scan", "s06_upsert", "f19_default_filters", "f23_bit_fields", "j01_rank_fusion", "j07_lag_pairs", "a01_column_statistics", "a05_cooccurrence", "a17_current_state", "a29_mutual_information", "a30_divergence", "w04_modified_z", "t07_bm25", "q01_hybrid_recall", "g09_rules", "r25_field_last_writer", "a15_cascade", "a43_recall_scores", "a50_vocabulary", "a51_merkle", "d02_packed_clock", "d29_spectrum", "d37_keyed_digest", "g24_successors", "j08_conflict_pairs", "x35_fnv1a", "y05_attributes"]
 
 
 @pytest.fixture(scope="module")
