@@ -6,7 +6,8 @@ blocks; two members can only be similar if they share a block.  To find the
 connected components of "similar":
 
 1. Stars: each member is verified against one leader, the member of least rank
-   of the blocks it shares with it most.  The rank tells how far a member is
+   of the blocks it shares with it most (against the leaders of all its blocks
+   that the sketches allow, where blocks hold sketches).  The rank tells how far a member is
    from what others hold, so the original of a group of near copies leads it,
    and the group, however large, becomes one component with a number of pairs
    in proportion to its members.
@@ -73,14 +74,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(blocks: DataFrame, first: DataFrame) -> DataFrame:
-    """Rows of the blocks (block, node, n, rank) whose members are in several components, with
-    each member's component and the block's main one, which holds most of its members."""
-    placed = written(blocks.join(first, "node", "left").select("block", "node", "n", "rank", F.coalesce("component", "node").alias("component")), "placed")
+    """Rows of the blocks (block, node, n, rank, and a sketch if there is one) whose members are in several components,
+    with each member's component, the block's main one, which holds most of its members, and how many are outside it."""
+    placed = written(blocks.join(first, "node", "left").select(*blocks.columns, F.coalesce("component", "node").alias("component")), "placed")
     per = placed.groupBy("block", "component").agg(F.count(F.lit(1)).alias("held"))
-    main = per.groupBy("block").agg(F.max(F.struct("held", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("block", F.col("top.component").alias("main"))
+    main = per.groupBy("block").agg(F.max(F.struct("held", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("held").alias("members"))
+    main = main.where("kinds > 1").select("block", F.col("top.component").alias("main"), (F.col("members") - F.col("top.held")).alias("outside"))
     return written(placed.join(main, "block"), "mixed")
 
 
+def _candidates(blocks: DataFrame, longs: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members and leaders of their blocks: every one that the sketches allow if blocks have
+    them, else for each member the leader that it shares most blocks with."""
+    near = blocks.where((F.col("node") != F.col("lead")) & sizes_allow(F.col("n"), F.col("lead_n"), percent))
+    if "sketch" in blocks.columns:
+        allowed = near.where(sketches_allow(F.col("sketch"), F.col("lead_sketch"), F.col("n"), F.col("lead_n"), longs, percent))
+        return allowed.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    counted = near.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("times"), F.min("lead_rank").alias("lead_rank"))
+    best = counted.groupBy("node").agg(F.max_by("lead", F.struct("times", -F.col("lead_rank"), "lead")).alias("lead"))
+    return best.select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
+
 def _nearest_leads(mixed: DataFrame, longs: int, percent: int, seed: int) -> DataFrame:
     """Pairs (a, b): each member outside the main component of a block, and of up to LEADS leads of
     each of its blocks the one with the nearest sketch that the bounds allow.
@@ -103,36 +117,42 @@ def _nearest_leads(mixed: DataFrame, longs: int, percent: int, seed: int) -> Dat
     return best.groupBy("node").agg(F.min("best").alias("best")).select(F.col("node").alias("a"), F.col("best.lead").alias("b"))
 
 
-def linked_components(blocks: DataFrame, sketches: DataFrame, longs: int, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(blocks: DataFrame, sketches: DataFrame | None, longs: int, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (node, component) for the members with a link; blocks: (block,
     node, n, rank), n the set's size; sketches: (node, sketch), an array of so
-    many longs.
+    many longs.  Short sketches may stand in blocks instead; sketches is None then.
 
     verify keeps the similar ones of pairs (a, b).  blocks is read several
     times and should be a written table.
     """
+    inline = sketches is None
     # blocks of one member say nothing
-    heads = blocks.groupBy("block").agg(F.min(F.struct("rank", "node", "n")).alias("lead"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    heads = written(heads.select("block", F.col("lead.rank").alias("lead_rank"), F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "heads")
+    lead = F.min(F.struct("rank", "node", "n", *(["sketch"] if inline else []))).alias("lead")
+    heads = blocks.groupBy("block").agg(lead, F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    of_lead = [F.col("lead.rank").alias("lead_rank"), F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), *([F.col("lead.sketch").alias("lead_sketch")] if inline else [])]
+    heads = written(heads.select("block", "size", *of_lead), "heads")
     blocks = written(blocks.join(if_small(heads), "block"), "blocks")
-    near = blocks.where((F.col("node") != F.col("lead")) & sizes_allow(F.col("n"), F.col("lead_n"), percent))
-    counted = near.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("times"), F.min("lead_rank").alias("lead_rank"))
-    best = counted.groupBy("node").agg(F.max_by("lead", F.struct("times", -F.col("lead_rank"), "lead")).alias("lead"))
-    stars = written(verify(best.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "stars")
+    stars = written(verify(_candidates(blocks, longs, percent)), "stars")
     first = written(components(stars), "star-components")
-    mixed = _unsettled(blocks.select("block", "node", "n", "rank"), first)
+    # with sketches in blocks all members have met their leaders, so blocks of two are settled
+    mixed = _unsettled((blocks.where("size > 2") if inline else blocks).select("block", "node", "n", "rank", *(["sketch"] if inline else [])), first)
     if mixed.isEmpty():
         return first
-    marked = written(sketches.join(if_small(written(mixed.select("node").distinct(), "mixed-nodes")), "node").dropDuplicates(["node"]), "sketches")
+    if not inline:
+        marked = written(sketches.join(if_small(written(mixed.select("node").distinct(), "mixed-nodes")), "node").dropDuplicates(["node"]), "sketches")
     for seed in range(ROUNDS):
-        more = verify(_nearest_leads(mixed.join(marked, "node"), longs, percent, seed))
+        # with sketches in blocks, those with few members outside the main component go to the crosses at once
+        large = mixed.where(F.col("outside") > LEADS) if inline else mixed
+        if large.isEmpty():
+            break
+        more = verify(_nearest_leads(large if inline else large.join(marked, "node"), longs, percent, seed))
         stars = written(stars.unionByName(more), "stars")
         first = written(components(stars), "star-components")
-        mixed = _unsettled(mixed.drop("component", "main"), first)
+        mixed = _unsettled(mixed.drop("component", "main", "outside"), first)
         if mixed.isEmpty():
             return first
     # the right side is dealt over SALTS, the left one is small: what is outside the block's main component
-    mixed = mixed.join(marked, "node")
+    mixed = mixed if inline else mixed.join(marked, "node")
     left = mixed.where("component <> main").select("block", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("sketch").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     right = mixed.select("block", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), (F.col("component") == F.col("main")).alias("in_main"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
     apart = (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b")))
