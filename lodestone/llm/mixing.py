@@ -30,8 +30,6 @@ from lodestone.llm.common import if_small, written
 
 SEED = 20
 LEAF = ["domain", "lang", "source"]
-#: Rows ordered in one task.
-ORDERED = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: The production mixture: domains are four groups of sources; weights not named are 1.
@@ -97,8 +95,9 @@ def cutoffs(table: DataFrame, epochs: int, share: tuple[int, int], domains: dict
     leaves = written(table.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
     sums = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.max("rows"), F.lit(1)).alias("r")).first()
     planned = written(budgets(leaves.drop("rows"), sums["t"] * share[0] // share[1], epochs, domains, langs).where("tokens > 0").withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens")), "budgets")
+    # at least as many parts as rows in one, so that the sums and the one part put in order are both near the square root of a leaf
     width = 1
-    while sums["r"] > ORDERED * 16**width:
+    while sums["r"] > 256**width:
         width += 1
     plan = planned.where("rest > 0")
     keyed = table.join(if_small(plan), LEAF).withColumn("key", _key(F.col("whole"), seed)).withColumn("part", F.substring("key", 1, width))
