@@ -5,10 +5,9 @@ for each host the distinct documents that hold a line are counted.  Lines held
 by more documents than the host's limit are boilerplate and are removed;
 documents left with too little are rejected.
 
-Copies and near copies of a document, which are the business of
-deduplication, count once: a document is known by the least hash of its lines
-other than the one counted, so a line is frequent only where it stands in
-documents that differ elsewhere.
+Copies of a document, which are the business of deduplication, count once: a
+document is known by a hash of the set of its lines, and a host's documents
+are counted in the same unit.
 
 Defined results: a null or empty text has no words, fails the base rules and
 is not kept; lines without a word are no lines; a null host is a host of its
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import if_small, written
-from lodestone.llm.textvec import Words, chunked, lists, runs, signed, utf8
+from lodestone.llm.textvec import Words, chunked, lists, mix, runs, signed, utf8
 
 #: A line is boilerplate in more documents of its host than both limits.
 MIN_DOCUMENTS = 20
@@ -105,12 +104,12 @@ def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "line_times", "others"]
+    names = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "line_times", "name"]
     for b in batches:
         for w in chunked(utf8(b.column(2))):
             base = _base(w)
             _, normal, n_words, exact, at = _lines(w)
-            dup, hashes, counts, times, others, cut = [], [], [], [], [], [0]
+            dup, hashes, counts, times, sets, cut = [], [], [], [], [], [0]
             for i in range(len(w.doc_words) - 1):
                 s = slice(at[i], at[i + 1])
                 dup.append(at[i + 1] - at[i] - len(np.unique(exact[s])))
@@ -118,10 +117,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes.append(h)
                 counts.append(n_words[s][where])
                 times.append(n)
-                key = np.full(len(h), h[0] if len(h) else 0, np.uint64)
-                if len(h):
-                    key[0] = h[1] if len(h) > 1 else h[0]
-                others.append(key)
+                sets.append(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(h)))
                 cut.append(cut[-1] + len(h))
             n, cut = len(dup), np.array(cut)
             join = lambda xs, kind: np.concatenate([*xs, np.zeros(0, kind)]).astype(kind)
@@ -135,7 +131,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lists(signed(join(hashes, np.uint64)), cut),
                     lists(join(counts, np.int32), cut),
                     lists(join(times, np.int32), cut),
-                    lists(signed(join(others, np.uint64)), cut),
+                    pa.array(signed(mix(np.array(sets, np.uint64)))),
                 ],
                 names,
             )
@@ -143,9 +139,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row a document: base figures, and its distinct lines as parallel
-    arrays (hash, words, times it stands there, key of the document without it)."""
+    arrays (hash, words, times it stands there), and the name of their set."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_digest, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>, line_times array<int>, others array<long>")
+    return read.mapInArrow(_digest, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>, line_times array<int>, name long")
 
 
 def boilerplate(figures: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE_OF_HOST) -> DataFrame:
@@ -155,9 +151,9 @@ def boilerplate(figures: DataFrame, min_documents: int = MIN_DOCUMENTS, share: f
     a partial step each, so a line of a third of all documents is no hot key.
     """
     key = F.xxhash64("host", "line")
-    long = figures.select("host", F.explode(F.arrays_zip("lines", "others")).alias("x")).select("host", F.col("x.lines").alias("line"), F.col("x.others").alias("other"))
-    times = long.groupBy("host", "line", "other").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
-    hosts = figures.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
+    long = figures.select("host", "name", F.explode("lines").alias("line"))
+    times = long.groupBy("host", "line", "name").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
+    hosts = figures.groupBy("host", "name").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
     over = times.where(F.col("documents") > min_documents).withColumn("key", key)
     return over.join(hosts, over["host"].eqNullSafe(hosts["host"])).where(F.col("documents") > F.col("host_documents") * F.lit(share)).select(over["host"], "line", "documents", "key")
 
@@ -178,7 +174,7 @@ def rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
     left = F.col("n_words") - F.col("removed_words")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        figures.drop("lines", "line_words", "line_times", "others")
+        figures.drop("lines", "line_words", "line_times", "name")
         .join(removed, "uid", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
         .withColumn("base_failed", base_failed)

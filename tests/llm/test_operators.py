@@ -73,6 +73,14 @@ def test_boilerplate_lines(spark):
     assert all(got[i].kept == bool(i % 2) for i in got)
 
 
+def test_several_boilerplate_lines(spark):
+    template = [f"{words(6, f'line {k}')}" for k in range(10)]
+    rows = [(i, "\n".join([*template, words(60, f"body {i}")]), "h") for i in range(60)] + [(100 + i, f"{words(60, 'copy')}\n{words(9, 'copied')}", "g") for i in range(60)]
+    got = {r.doc_id: r for r in line_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].removed_words == 60 for i in range(60))
+    assert all(got[100 + i].removed_words == 0 for i in range(60))
+
+
 def test_jaccard_join(docs, none):
     got = {r.doc_id: r for r in jaccard_join.join(docs).collect()}
 
