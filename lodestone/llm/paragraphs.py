@@ -5,8 +5,11 @@ content: of every WINDOW successive shingles of five words the one of least
 hash is an anchor, and the SPAN shingles from an anchor on are a paragraph.
 Two documents that share a run of WINDOW + SPAN - 1 shingles (51 words) choose
 the same anchor in it and so have an equal paragraph inside it, wherever the
-run stands and however its lines are broken.  A document of fewer
-shingles than that is one paragraph.
+run stands and however its lines are broken.  Words that no such paragraph
+holds, between two anchors or at an edge of the document, are in further
+paragraphs of SPAN shingles, or of 2 SPAN where one of SPAN would be a near copy
+of its neighbour.  A document of at most WHOLE shingles is a paragraph as a
+whole, below WINDOW + SPAN - 1 the only one.
 
 Paragraphs get MinHash signatures; the bands are the fewest that miss a pair
 of the threshold with less than 1 - RECALL.  Colliding paragraphs are joined
@@ -36,7 +39,7 @@ from lodestone.llm.links import linked_components, verified
 from lodestone.llm.textvec import Words, chunked, lists, mix, signed, utf8
 
 SHINGLE = 5
-WINDOW, SPAN = 32, 16
+WINDOW, SPAN, WHOLE = 32, 16, 96
 PERCENT = 80
 RECALL, ROWS = 0.99, 2
 
@@ -58,6 +61,47 @@ def _anchors(shingles: np.ndarray, window: int) -> np.ndarray:
     return at[keep]
 
 
+def _tiles(own: np.ndarray, window: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shingles and ends of paragraphs that hold all words of a document of window + span - 1 shingles or more.
+
+    A paragraph's words end SHINGLE - 1 after its last shingle begins, so a gap
+    up to that needs no paragraph; none begins nearer to another of its length.
+    """
+    n, near = len(own), SHINGLE - 1
+    first = _anchors(own, window)
+    first = first[first + span <= n]
+    first = first if len(first) else np.zeros(1, np.int64)
+    begin, end = [first], [first + span]
+
+    def add(start: int, size: int) -> None:
+        begin.append(np.array([start]))
+        end.append(np.array([start + size]))
+
+    # between two anchors, from the end of the first one's paragraph on
+    left, right = first[:-1] + span, first[1:]
+    while len(left := left[(more := right - left > near)]):
+        right = right[more]
+        begin.append(left)
+        end.append(left + span)
+        left = left + span
+    # before the first
+    if 0 < first[0] <= near:
+        add(0, 2 * span)
+    elif first[0]:
+        for at in range(0, int(first[0]) - near, span):
+            add(at, span)
+    # after the last
+    at = int(first[-1]) + span
+    while n - at > span + near:
+        add(at, span)
+        at += span
+    if n - at > near:
+        add(n - span, span)
+    elif n > at:
+        add(n - 2 * span, 2 * span)
+    return np.concatenate(begin), np.concatenate(end)
+
+
 def _paragraphs(w: Words, window: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The shingles of a chunk; for each paragraph its document, first shingle and end."""
     shingles, at = w.shingles(SHINGLE)
@@ -67,9 +111,9 @@ def _paragraphs(w: Words, window: int, span: int) -> tuple[np.ndarray, np.ndarra
         if len(own) < window + span - 1:  # one paragraph
             first, end = np.zeros(min(1, len(own)), np.int64), np.full(min(1, len(own)), len(own))
         else:
-            first = _anchors(own, window)
-            first = first[first + span <= len(own)]
-            end = first + span
+            first, end = _tiles(own, window, span)
+            if len(own) <= WHOLE:
+                first, end = np.append(first, 0), np.append(end, len(own))
         begin.append(first + at[i])
         finish.append(end + at[i])
         docs.append(np.full(len(first), i))
@@ -84,11 +128,11 @@ def _matrix(shingles: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def _groups(shingles: np.ndarray, first: np.ndarray, end: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Paragraphs of at most span shingles together, longer ones each alone, with their matrix."""
-    long = end - first > span
-    for group in (np.flatnonzero(~long), *(np.array([i]) for i in np.flatnonzero(long))):
-        if len(group):
-            yield group, _matrix(shingles, first[group], end[group])
+    """Paragraphs of at most span shingles together, of at most twice as many, and so on, with their matrix."""
+    times = np.ceil(np.log2(np.maximum((end - first) / span, 1)))
+    for k in np.unique(times):
+        group = np.flatnonzero(times == k)
+        yield group, _matrix(shingles, first[group], end[group])
 
 
 def _distinct(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -110,6 +110,25 @@ def test_paragraphs(docs, none):
     assert paragraphs.repeated(none).count() == 0
 
 
+def test_near_copies_of_short_documents(spark):
+    rows = []
+    for i in range(20):
+        text = words(60, f"short {i}").split()
+        rows += [(4 * i, " ".join(text)), (4 * i + 1, " ".join([*text[:30], "changed", *text[31:]]))]
+        rows += [(4 * i + 2, words(54, f"edge {i}")), (4 * i + 3, " ".join(words(54, f"edge {i}").split()[:50]))]
+    got = {r.doc_id for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).where("removed and word_start = 0 and word_end >= 50").collect()}
+    assert got == {i for i in range(80) if i % 4 in (1, 3)}
+
+
+def test_paragraphs_hold_all_words(spark):
+    rows = [(i, words(51 + i, f"whole {i}")) for i in range(150)]
+    held = {i: set() for i, _ in rows}
+    for r in paragraphs.paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        held[r.doc_id] |= set(range(r.word_start, r.word_end))
+    assert all(held[i] == set(range(51 + i)) for i in held)
+    assert paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
 def test_pii(docs, none):
     got = {r.doc_id: r for r in pii.spans(docs).collect()}
     t = texts()[9][1]
