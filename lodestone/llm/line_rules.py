@@ -35,6 +35,8 @@ MIN_WORDS_LEFT = 50
 MIN_SHARE_LEFT = 0.3
 #: Shares of a line's rows that are joined apart from each other.
 SALTS = 32
+#: Lists of lines up to which they may be broadcast.
+LISTS = 10_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -79,6 +81,12 @@ def _same_case(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return runs(_cased(w)[0], w.doc_words, 3)
 
 
+def _first_words(w: Words) -> np.ndarray:
+    """Where the first word of each line with a word begins."""
+    first = np.searchsorted(w.starts, np.unique(np.concatenate((np.flatnonzero(w.raw == 0x0A) + 1, w.doc_bytes))))
+    return w.starts[first[:-1][np.diff(first) > 0]]
+
+
 def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For lines with a word: the document's row, hash of the normalised line, words, and hash of the exact bytes; offsets of documents."""
     from lodestone.llm import textvec
@@ -158,19 +166,21 @@ def boilerplate(figures: DataFrame, min_documents: int = MIN_DOCUMENTS, share: f
     return over.join(hosts, over["host"].eqNullSafe(hosts["host"])).where(F.col("documents") > F.col("host_documents") * F.lit(share)).select(over["host"], "line", "documents", "key")
 
 
-def rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE_OF_HOST, min_words_left: int = MIN_WORDS_LEFT, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
-    """One row a document: base figures, base_failed, words in removed lines, kept."""
-    figures = written(measured(docs, host).withColumn("uid", F.monotonically_increasing_id()), "lines")
+def _above(figures: DataFrame, min_documents: int, share: float) -> DataFrame:
+    """Rows (uid, doc_id, host, line, words) of the lines above their host's limit in each row of figures."""
     # a host's line is found again by a hash of both, which one long holds
     frequent = written(boilerplate(figures, min_documents, share).select("key").distinct(), "boilerplate")
-    long = figures.where(F.size("lines") > 0).select("uid", "host", F.explode(F.arrays_zip("lines", "line_words", "line_times")).alias("x")).select("uid", F.xxhash64("host", "x.lines").alias("key"), (F.col("x.line_words") * F.col("x.line_times")).cast("long").alias("words"))
+    long = figures.where(F.size("lines") > 0).select("uid", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words", "line_times")).alias("x"))
+    long = long.select("uid", "doc_id", "host", F.col("x.lines").alias("line"), F.xxhash64("host", "x.lines").alias("key"), (F.col("x.line_words") * F.col("x.line_times")).cast("long").alias("words"))
     small = if_small(frequent)
     if small is frequent:  # too many to broadcast: a frequent line's rows are dealt over SALTS tasks
         salted = frequent.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        hits = long.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
-    else:
-        hits = long.join(small, "key")
-    removed = hits.groupBy("uid").agg(F.sum("words").alias("removed_words"))
+        return long.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("key", "salt")
+    return long.join(small, "key").drop("key")
+
+
+def _verdicts(figures: DataFrame, above: DataFrame, min_words_left: int, min_share_left: float) -> DataFrame:
+    removed = above.groupBy("uid").agg(F.sum("words").alias("removed_words"))
     left = F.col("n_words") - F.col("removed_words")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
@@ -183,14 +193,71 @@ def rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUME
     )
 
 
-def kept_documents(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
-    """docs that the rules keep.
+def _figures(docs: DataFrame, host: str) -> DataFrame:
+    return written(measured(docs, host).withColumn("uid", F.monotonically_increasing_id()), "lines")
+
+
+def rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE_OF_HOST, min_words_left: int = MIN_WORDS_LEFT, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
+    """One row a document: base figures, base_failed, words in removed lines, kept."""
+    figures = _figures(docs, host)
+    return _verdicts(figures, _above(figures, min_documents, share), min_words_left, min_share_left)
+
+
+def _without(docs: DataFrame) -> DataFrame:
+    """docs, without their last column _lines, and without the lines of the texts whose hashes it lists; n_chars to match.
+
+    A line goes with its line break; what is left is joined as it was.
+    """
+    schema = docs.drop("_lines").schema
+    columns = schema.names
+    text_at = columns.index("text")
+    chars_at = columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = b.columns[:-1]
+            gone = b.column(len(columns))
+            hit = np.flatnonzero(np.asarray(gone.is_valid()))
+            if len(hit):
+                texts = utf8(b.column(text_at).take(pa.array(hit)))
+                new = b.column(text_at).to_pylist()
+                lists_ = gone.take(pa.array(hit)).to_pylist()
+                for w in chunked(texts):
+                    doc, normal, _, _, at = _lines(w)
+                    breaks = np.flatnonzero(w.raw == 0x0A)
+                    # the number of the line in its document: line breaks before its first word, from the document's edge on
+                    word = np.searchsorted(breaks, _first_words(w)) - np.searchsorted(breaks, w.doc_bytes[doc])
+                    for i in range(len(w.doc_words) - 1):
+                        own = slice(at[i], at[i + 1])
+                        row = w.first_row + i
+                        drop = set(word[own][np.isin(normal[own], np.array(lists_[row], np.int64).view(np.uint64))].tolist())
+                        new[hit[row]] = b"\n".join(x for k, x in enumerate(texts[row].split(b"\n")) if k not in drop).decode()
+                if chars_at is not None:
+                    chars = b.column(chars_at).to_pylist()
+                    for k in hit:
+                        chars[k] = None if chars[k] is None else len(new[k])
+                    out[chars_at] = pa.array(chars, b.column(chars_at).type)
+                out[text_at] = pa.array(new, b.column(text_at).type)
+            yield pa.RecordBatch.from_arrays(out, columns)
+
+    return docs.select(*columns, "_lines").mapInArrow(run, schema)
+
+
+def kept_documents(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE_OF_HOST, min_words_left: int = MIN_WORDS_LEFT, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
+    """docs that the rules keep, their texts without the lines above the limits.
 
     The verdict is taken to the rows by the list of rejected ids, where that
     is small enough to broadcast, or by a join.  Of rows that share an id all
     stay if one is kept; rows without doc_id are judged no worse and stay.
+    The lines are taken to the rows by doc_id and host: a line above its host's
+    limit is so in all rows of the host.
     """
-    verdicts = rules(docs, host, **limits)
+    figures = _figures(docs, host)
+    above = written(_above(figures, min_documents, share), "above")
+    verdicts = _verdicts(figures, above, min_words_left, min_share_left)
     rejected = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
     rejected = written(rejected.where("doc_id is not null"), "rejected")
-    return docs.join(if_small(rejected), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(if_small(rejected), "doc_id", "left_anti").select(*docs.columns)
+    gone = above.join(if_small(rejected), "doc_id", "left_anti").groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_lines"))
+    same = kept["doc_id"].cast("long").eqNullSafe(F.col("_id")) & kept[host].cast("string").eqNullSafe(F.col("_host"))
+    return _without(kept.join(if_small(written(gone, "gone"), LISTS), same, "left").select(*(kept[c] for c in docs.columns), "_lines"))

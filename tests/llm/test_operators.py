@@ -81,6 +81,16 @@ def test_several_boilerplate_lines(spark):
     assert all(got[100 + i].removed_words == 0 for i in range(60))
 
 
+def test_boilerplate_lines_leave_the_texts(spark, docs):
+    body = [f"Größe {words(60, f'body {i}')}\n\nmore {words(9, f'more {i}')}" for i in range(60)]
+    cast = lambda i: ["The  Header of all pages", body[i].split("\n")[0], "", body[i].split("\n")[2], "the header\tOF all pages", "a footer of all pages"]
+    rows = [(None if i == 7 else i, "\n".join(cast(i)), None if i < 30 else "h", len("\n".join(cast(i)))) for i in range(60)] + [(100 + i, f"{words(60, f'other {i}')}\na footer of all pages", "g", None) for i in range(5)]
+    got = line_rules.kept_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_chars) for r in got.collect() if (r.doc_id or 0) < 100) == sorted((-1 if i == 7 else i, body[i], len(body[i])) for i in range(60))
+    assert {(r.doc_id, r.text, r.n_chars) for r in got.where("doc_id >= 100").collect()} == {(i, t, n) for i, t, _, n in rows[60:]}
+    assert line_rules.kept_documents(docs).columns == docs.columns
+
+
 def test_jaccard_join(docs, none):
     got = {r.doc_id: r for r in jaccard_join.join(docs).collect()}
 
