@@ -11,8 +11,8 @@ between the matches.
 The method: seed entities are the base spans and long mixed strings of letters
 and digits.  Every token with a digit or an at sign is an instance; the lexical
 patterns it stands in are its left context (the word before it and its own
-lead, such as ``password=``) and its form (first letters, length and
-characters).  Patterns and instances make a bipartite graph.  In each round a
+lead, such as ``password=``) and, if it holds a letter, its form (first letters,
+length and characters); of digits alone a form says too little.  Patterns and instances make a bipartite graph.  In each round a
 pattern's confidence is the mean score of its distinct instances, damped by a
 prior, and an instance scores as its best pattern; seeds keep score 1.
 Patterns of high confidence and enough distinct seeds then mark all their
@@ -142,10 +142,10 @@ def _occurrences(table: DataFrame) -> DataFrame:
     one = table.where(F.size("instances") > 0).select("uid", F.explode("instances").alias("x")).select("uid", "x.*")
     has = lambda pattern: F.col("value").rlike(pattern).cast("string")
     form = F.concat_ws("|", F.lit("form"), F.regexp_extract("value", "^[A-Za-z]{0,4}", 0), F.least(F.length("value"), F.lit(64)), has("[a-z]"), has("[A-Z]"), has("[^A-Za-z0-9]"))
+    left = F.xxhash64(F.lit("left"), "left")
     return one.select(
-        "uid", "start", "end", "base", F.xxhash64("value").alias("instance"), (F.col("base") | _mixed(F.col("value"))).alias("seed"),
-        F.length("value").alias("size"), F.length(_digits(F.col("value"))).alias("n_digits"), F.col("value").rlike("[A-Za-z]").alias("lettered"),
-        F.array(F.xxhash64(F.lit("left"), "left"), F.xxhash64(form)).alias("patterns"),
+        "uid", "start", "end", "base", F.xxhash64("value").alias("instance"), (F.col("base") | _mixed(F.col("value"))).alias("seed"), F.length("value").alias("size"),
+        F.when(F.col("value").rlike("[A-Za-z]"), F.array(left, F.xxhash64(form))).otherwise(F.array(left)).alias("patterns"),
     )
 
 
@@ -172,7 +172,7 @@ def extended(docs: DataFrame, keep: list[str]) -> DataFrame:
     occurrences = _occurrences(table)
     good = confident(occurrences)
     marked = (
-        occurrences.where(~F.col("base") & (F.col("size") >= 6) & (F.col("n_digits") >= 2) & F.col("lettered"))
+        occurrences.where(~F.col("base") & (F.col("size") >= 6))
         .select("uid", "start", "end", F.explode("patterns").alias("pattern"))
         .join(if_small(good.select("pattern")), "pattern")
         .select("uid", "start", "end").distinct()

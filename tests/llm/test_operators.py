@@ -151,6 +151,13 @@ def test_pii(docs, none):
     assert clean[3] is None and clean[0] == texts()[0][1]
 
 
+def test_pii_numbers_and_handles(spark):
+    rows = [(i, f"{words(4, i)} phone: +1-988-555-{1000 + i} {words(4, -i)} contact: someone{i}@mail{i}.example") for i in range(40)]
+    rows += [(100, "my phone: 988-555-2485 now"), (101, "please contact: @some_handle today"), (102, "in the year 1999-2000 or at 12345678 there")]
+    got = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "id:10:22" and got[101] == "id:16:28" and got[102] == ""
+
+
 def test_shards(docs, none):
     got = kd_shards.shards(docs, n_shards=3).collect()
     assert len(got) == len(texts())
