@@ -8,6 +8,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from lodestone.llm import bpe, brown_lm, jaccard_join, kd_shards, line_rules, mixing, paragraphs, pii, topk_search, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, uid string, block int"
@@ -113,6 +114,15 @@ def test_jaccard_join(docs, none):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(parent.values()))
 
 
+def test_pipeline_near_copies(spark):
+    rows = []
+    for i, n in enumerate((49, 50, 48)):  # one changed word: 40 of 50, 41 of 51 and 39 of 49 shingles of five words
+        text = words(n, f"near {i}").split()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:24], "changed", *text[25:]]))]
+    kept = corpus_pipeline.jaccard_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5]
+
+
 def test_paragraphs(docs, none):
     got = paragraphs.repeated(docs).collect()
     assert {7, 8} <= {r.doc_id for r in got} and {0, 1, 2} <= {r.doc_id for r in got}
