@@ -83,7 +83,7 @@ def parity(own: np.ndarray, longs: int) -> np.ndarray:
 
 def rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n (set size), node (hash of the set), need (least overlap inside the part), part (the multiplied entries, none for
-    a set that its task has seen before) and sketch."""
+    a set that its task has seen before or that has no doc_id) and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -93,9 +93,12 @@ def rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 size = np.minimum(n, missing(n, percent) + extra(n))
                 need = np.minimum(size, extra(-(-percent * n // 100)))
                 names = np.array([_name(s) if len(s) else 0 for s in sets], np.uint64)
+                known = np.asarray(b.column(0).slice(first, len(n)).is_valid())
                 for i, name in enumerate(names.tolist()):  # a task multiplies copies of a row once
-                    size[i] = 0 if name in seen else size[i]
-                    seen.add(name)
+                    if name in seen or not known[i]:
+                        size[i] = 0
+                    else:
+                        seen.add(name)
                 cut = np.concatenate(([0], np.cumsum(size)))
                 flat = np.concatenate([*(s[:p] for s, p in zip(sets, size, strict=True)), np.zeros(0, np.uint64)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n), pa.array(signed(names)), pa.array(need), lists(signed(flat), cut), lists(np.concatenate([parity(s, SKETCH) for s in sets]), np.arange(len(n) + 1) * SKETCH)], ["doc_id", "n", "node", "need", "part", "sketch"])

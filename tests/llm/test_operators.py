@@ -114,6 +114,14 @@ def test_jaccard_join(docs, none):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(parent.values()))
 
 
+def test_jaccard_join_row_without_id_first(spark):
+    near = words(120, "n").split()
+    near[60] = "changed"
+    rows = [(None, words(120, "n")), (1, words(120, "n")), (2, " ".join(near)), (3, words(120, "other"))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {None: None, 1: 1, 2: 1, 3: 3}
+
+
 def test_pipeline_near_copies(spark):
     rows = []
     for i, n in enumerate((49, 50, 48)):  # one changed word: 40 of 50, 41 of 51 and 39 of 49 shingles of five words
