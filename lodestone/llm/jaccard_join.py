@@ -14,8 +14,10 @@ part of the product is formed at all:
   (shared - l + 1) entries are discarded as well: a similar pair meets in one
   of the rare columns.
 
-Overlaps of the surviving row pairs are accumulated over the whole sets, so
-every reported link is exact.  See links.py for how pairs inside groups of
+The product is formed in blocks: the surviving rows are cut into PARTS ranges
+of columns, a task multiplies one range of two rows, and the overlaps of a row
+pair are accumulated over all ranges and held against the bound of its sizes,
+so every reported link is exact.  See links.py for how pairs inside groups of
 near copies are avoided; equal sets are one row of the matrix.
 
 Shingles are 64-bit hashes of the words; at 10**9 distinct shingles the
@@ -45,6 +47,8 @@ from lodestone.llm.textvec import chunked, lists, mix, signed, utf8
 
 #: Entries multiplied of each row beyond the d that a partner may lack, as a share of its size.
 EXTRA = 0.06
+#: Ranges of columns in which the product is formed.
+PARTS = 4
 #: Longs of a row's sketch.
 SKETCH = 8
 
@@ -108,17 +112,23 @@ def rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node and all items of its set; a set that many documents have comes once for each."""
+    """Blocks of the incidence matrix: node, part (range of hashes), n (size of the whole set) and the set's items in
+    that range; a set that many documents have comes once for each."""
+    edges = np.array([i << (64 - PARTS.bit_length() + 1) for i in range(1, PARTS)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, sets in _sets(utf8(b.column(0)), k):
                 sets = [s for s in sets if len(s)]
-                cut = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+                inner = np.array([np.concatenate(([0], np.searchsorted(s, edges), [len(s)])) for s in sets], np.int64).reshape(-1, PARTS + 1)
+                size = np.diff(inner, axis=1)
                 names = np.array([_name(s) for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(names)), lists(signed(np.concatenate([*sets, np.zeros(0, np.uint64)])), cut)], ["node", "items"])
+                row, part = np.nonzero(size)
+                cut = np.concatenate(([0], np.cumsum(size[row, part])))
+                items = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(names[row])), pa.array(part.astype(np.int32)), pa.array(inner[row, -1].astype(np.int32)), lists(signed(items), cut)], ["node", "part", "n", "items"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, items array<long>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, part int, n int, items array<long>")
 
 
 def _kept_columns(table: DataFrame) -> DataFrame:
@@ -142,7 +152,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # one document of each set that is left, to take the whole set from
     chosen = written(table.select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "chosen")
     sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(if_small(chosen), "doc_id", "left_semi")
-    sets = written(full_sets(sources, k).dropDuplicates(["node"]), "sets")
+    sets = written(full_sets(sources, k).dropDuplicates(["node", "part"]), "sets")
     found = linked_components(blocks, table.select("node", "sketch"), SKETCH, percent, lambda pairs: verified(pairs, sets, percent))
     labelled = table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node", "left").withColumn("group", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "node")))
     # a table of its own, so that a hot group's rows can be split in the join
