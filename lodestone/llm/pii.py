@@ -18,13 +18,20 @@ prior, and an instance scores as its best pattern; seeds keep score 1.
 Patterns of high confidence and enough distinct seeds then mark all their
 instances, seen before or not, as spans of kind ``id``.
 
-Defined results: a null or empty text has no spans; repeated rows each get a
-row; an empty table gives an empty table; only doc_id and text are read (and
-all columns are returned by redacted()).
+Running sums and maxima over the matches of a text are taken in blocks
+(``_running``), and texts are cut from pieces, so the work for one text grows
+with its length and not with the square of its number of matches.
+
+Defined results: a null or empty text has no spans; a null doc_id is kept and
+stays null; repeated rows each get a row; an empty table gives an empty table;
+only doc_id and text are read (and all columns are returned by redacted(),
+which carries the row as one struct, so its columns may have any names).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +41,10 @@ ROUNDS = 3
 #: A pattern's least confidence, distinct seeds, and weight of the prior (score 0).
 CONFIDENCE, MIN_SEEDS, PRIOR = 0.7, 8, 1.0
 KINDS = ("email", "ip", "card", "phone")
+#: Values of a running sum, and characters of a piece of text, handled at once.
+BLOCK, PIECE = 128, 4096
+_SPANS = "array<struct<start:int,end:int>>"
+_MATCHES = "array<struct<start:int,end:int,match:string,before:string>>"
 
 #: The base patterns, rewritten as said above (\u0001 stands for an inner separator).
 _EMAIL_DOT, _EMAIL = r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", "(?:\\G|(?<![A-Za-z0-9._%+\u0001-]))[A-Za-z0-9._%+\u0001-]++@(?=[A-Za-z0-9-]++\u0001)[A-Za-z0-9\u0001-]++"
@@ -44,21 +55,43 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; a lambda would compute an outer expression again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, zero: object, kind: str, op: Callable[[Column, Column], Column]) -> Column:
+    """The array op(v1), op(v1, v2), ...: in blocks of BLOCK values, then over the blocks."""
+    nothing = F.array().cast(f"array<{kind}>")
+    first = F.lit(zero).cast(kind)
+
+    def scan(a: Column) -> Column:
+        return F.aggregate(a, nothing, lambda out, x: F.array_append(out, op(F.coalesce(F.try_element_at(out, F.lit(-1)), first), x)))
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: scan(F.slice(v, i * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(local: Column) -> Column:
+        before = F.concat(F.array(first), scan(F.transform(local, lambda x: F.element_at(x, -1))))
+        return F.flatten(F.zip_with(local, F.slice(before, F.lit(1), F.size(local)), lambda x, carried: F.transform(x, lambda y: op(carried, y))))
+
+    # of few values there is one block
+    return _let(values, lambda v: F.when(F.size(v) == 0, nothing).when(F.size(v) <= BLOCK, scan(v)).otherwise(_let(blocks(v), joined)))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match, before>> of the matches, in code points; before is the part since the last match."""
-    regex = F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    parts = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(found, parts, lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,match:string,before:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.char_length(x["p"])
-        end = begin + F.char_length(x["m"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("match"), x["p"].alias("before")))).alias("out"))
+    def pairs(found: Column) -> Column:
+        parts = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return F.zip_with(found, parts, lambda m, p: F.struct(m.alias("m"), p.alias("p"), F.char_length(m).alias("n"), (F.char_length(m) + F.char_length(p)).alias("both")))
 
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def placed(pairs: Column) -> Column:
+        ends = _running(F.transform(pairs, lambda x: x["both"]), 0, "int", lambda a, b: a + b)
+        return F.zip_with(pairs, ends, lambda x, end: F.struct((end - x["n"]).alias("start"), end.alias("end"), x["m"].alias("match"), x["p"].alias("before")))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(found, lambda f: F.when(F.size(f) == 0, F.array().cast(_MATCHES)).otherwise(_let(pairs(f), placed)))
 
 
 def _digits(c: Column) -> Column:
@@ -82,11 +115,32 @@ def _bare(c: Column) -> Column:
     return F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
-_SPANS = "array<struct<start:int,end:int>>"
+def _meets(spans: Column, tokens: Column) -> Column:
+    """tokens in order, each with a flag base: whether a span overlaps it.
+
+    Both are put in order together; a token meets a span that begins no later
+    if the furthest end of those is beyond its start, and one that begins
+    inside it if the next start is before its end.
+    """
+    empty = F.lit("")
+    all_ = F.array_sort(F.concat(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(False).alias("token"), s["end"].alias("end"), empty.alias("value"), empty.alias("left"))),
+        F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(True).alias("token"), t["end"].alias("end"), t["value"].alias("value"), t["left"].alias("left"))),
+    ))
+
+    def told(every: Column) -> Column:
+        furthest = _running(F.transform(every, lambda x: F.when(x["token"], F.lit(-1)).otherwise(x["end"])), -1, "int", F.greatest)
+        next_ = F.reverse(_running(F.transform(F.reverse(every), lambda x: F.when(x["token"], F.lit(2**31 - 1)).otherwise(x["start"])), 2**31 - 1, "int", F.least))
+        both = F.zip_with(furthest, next_, lambda end, start: F.struct(end.alias("end"), start.alias("start")))
+        return F.zip_with(every, both, lambda x, y: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), ((y["end"] > x["start"]) | (y["start"] < x["end"])).alias("base"), x["token"].alias("token")))
+
+    kept = F.filter(_let(all_, told), lambda x: x["token"])
+    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["base"].alias("base")))
 
 
-def found(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, the base spans of each kind, and the instances with their contexts."""
+def found(docs: DataFrame) -> DataFrame:
+    """docs (row, text) as row, the base spans of each kind, and the instances with their contexts."""
+    keep = ["row"]
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # only texts with a digit or an at sign can hold anything
     likely = raw.rlike("[0-9@]")
@@ -109,7 +163,7 @@ def found(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.coalesce(_bare(quads), none).alias("ip"),
         F.coalesce(_bare(F.filter(cards, lambda x: _luhn(F.regexp_replace(x["match"], "\u0001", "")))), none).alias("card"),
         F.coalesce(_bare(F.filter(_places(F.col("_p"), _PHONE), lambda x: F.length(_digits(x["match"])).between(9, 15))), none).alias("phone"),
-        F.coalesce(_places(F.col("_t"), _INSTANCE), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")).alias("_tokens"),
+        F.coalesce(_places(F.col("_t"), _INSTANCE), F.array().cast(_MATCHES)).alias("_tokens"),
     )
     # the value without its lead and the punctuation around it
     lead = lambda x: F.regexp_extract(x["match"], "^(?:[^=:]*[=:])?[^A-Za-z0-9@+]*", 0)
@@ -127,9 +181,8 @@ def found(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
     table = table.select(*keep, *KINDS, F.filter(tokens, lambda x: x["end"] > x["start"]).alias("_tokens"))
     spans = F.concat(*KINDS)
-    return table.select(
-        *keep, *KINDS, F.transform("_tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), t["left"].alias("left"), F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("base"))).alias("instances")
-    )
+    apart = F.transform("_tokens", lambda t: F.struct(t["start"], t["end"], t["value"], t["left"], F.lit(False).alias("base")))
+    return table.select(*keep, *KINDS, F.when((F.size(spans) > 0) & (F.size("_tokens") > 0), _meets(spans, F.col("_tokens"))).otherwise(apart).alias("instances"))
 
 
 def _mixed(value: Column) -> Column:
@@ -166,9 +219,9 @@ def confident(occurrences: DataFrame, rounds: int = ROUNDS, confidence: float =
     return patterns.where(F.col("confidence") >= confidence)
 
 
-def extended(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, base spans by kind, and ``id``: the spans that confident patterns add."""
-    table = written(found(docs, keep).withColumn("uid", F.monotonically_increasing_id()), "instances")
+def extended(docs: DataFrame) -> DataFrame:
+    """docs (row, text) as row, base spans by kind, and ``id``: the spans that confident patterns add."""
+    table = written(found(docs).withColumn("uid", F.monotonically_increasing_id()), "instances")
     occurrences = _occurrences(table)
     good = confident(occurrences)
     marked = (
@@ -190,29 +243,42 @@ def _told(kinds: tuple[str, ...]) -> Column:
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row a document: counts of the base kinds, a digest of the base spans, and all spans."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return extended(read, ["doc_id"]).select(
-        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(_told(KINDS), 256).alias("base_sha256"), _told((*KINDS, "id")).alias("spans")
+    read = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text")
+    return extended(read).select(
+        "row.doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(_told(KINDS), 256).alias("base_sha256"), _told((*KINDS, "id")).alias("spans")
     )
 
 
+def _cut(pieces: Column, low: Column, high: Column) -> Column:
+    """The characters from low to high of a text that comes in pieces of PIECE characters."""
+    first, last = F.floor(low / PIECE).cast("int"), F.floor(high / PIECE).cast("int")
+    piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+    inside = F.substring(piece(first), low - first * PIECE + 1, high - low)
+    across = F.concat(F.substring(piece(first), low - first * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.substring(piece(last), F.lit(1), high - last * PIECE))
+    return F.when(high <= low, F.lit("")).when(first == last, inside).otherwise(across)
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by its kind, such as <EMAIL>, and n_chars to match."""
-    keep = docs.columns
-    table = extended(docs, keep)
+    columns = docs.columns
+    table = extended(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text")))
 
     def named(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("kind")))
 
-    all_ = F.array_sort(F.concat(*map(named, (*KINDS, "id"))))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        apart = s["start"] >= a["at"]
-        return F.struct(F.when(apart, F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), s["kind"])).otherwise(a["text"]).alias("text"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    cut = F.aggregate(all_, start, step, lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1))))
-    table = table.withColumn("text", F.when(F.size(F.concat(*KINDS, "id")) > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in keep:
-        table = table.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long")))
-    return table.select(*keep)
+    text = F.col("row.text")
+    table = table.withColumn("_all", F.array_sort(F.concat(*map(named, (*KINDS, "id")))))
+    # the furthest end before each span: one that begins before it is inside another
+    table = table.withColumn("_ends", F.when(F.size("_all") > 0, _running(F.transform("_all", lambda x: x["end"]), 0, "int", F.greatest)))
+    table = table.withColumn("_pieces", F.when(F.size("_all") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    pieces = F.col("_pieces")
+    before = F.concat(F.array(F.lit(0)), F.slice("_ends", F.lit(1), F.size("_ends") - 1))
+    told = F.transform(F.filter(F.zip_with("_all", before, lambda s, at: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), at.alias("at"))), lambda x: x["start"] >= x["at"]), lambda x: F.concat(_cut(pieces, x["at"], x["start"]), x["kind"]))
+    tail = F.element_at("_ends", -1)
+    length = (F.size(pieces) - 1) * PIECE + F.char_length(F.element_at(pieces, -1))
+    table = table.withColumn("_text", F.when(F.size("_all") > 0, F.concat(F.array_join(told, ""), _cut(pieces, tail, length))))
+    cut = F.col("_text")
+    row = F.col("row").withField("text", F.when(F.size("_all") > 0, cut).otherwise(text.cast("string")))
+    if "n_chars" in columns:
+        row = row.withField("n_chars", F.when(F.size("_all") > 0, F.when(F.col("row.n_chars").isNotNull(), F.char_length(cut).cast(docs.schema["n_chars"].dataType))).otherwise(F.col("row.n_chars")))
+    return table.select(row.alias("row")).select("row.*")

@@ -220,3 +220,29 @@ def test_toxicity(spark, none):
     got = {r.doc_id: r.predicted for r in found.collect()}
     assert all(got[i] == (i % 3 == 0) for i in range(300)) and got[900] == 1 and got[901] == 0
     assert toxicity.scores(none, labels).count() == 0
+
+
+def test_pii_names_that_clash(spark):
+    taken = ["uid", "email", "ip", "card", "phone", "id", "instances", "row", "_t", "_e", "start", "spans", "base"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in taken)
+    text = "mail a.b@c.de and 1.2.3.4 end"
+    rows = [(1, text, len(text), *(f"mine {c}" for c in taken)), (None, None, None, *(None for _ in taken)), (3, "", 0, *("x" for _ in taken))]
+    got = pii.redacted(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "n_chars", *taken]
+    by_id = {r.doc_id: r for r in got.collect()}
+    assert by_id[1].text == "mail <EMAIL> and <IP> end" and by_id[1].n_chars == len(by_id[1].text)
+    assert all(by_id[1][c] == f"mine {c}" for c in taken)
+    assert by_id[None].text is None and by_id[3].text == ""
+    back = paragraphs.without_repeats(spark.createDataFrame(rows, schema))
+    assert back.columns == got.columns and {r.doc_id: r.text for r in back.collect()} == {1: text, None: None, 3: ""}
+
+
+def test_pii_many_matches_in_one_text(spark):
+    n = 5_000
+    text = " ".join(f"é{i} x{i}@y{i}.zz 1.2.3.{i % 300}" for i in range(n))
+    got = pii.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_email == n and got.n_ip == sum(i % 300 <= 255 for i in range(n))
+    at = [m.span() for m in re.finditer(r"[a-z0-9]+@[a-z0-9]+\.zz", text)]
+    assert got.spans.startswith(",".join(f"email:{a}:{b}" for a, b in at[:2000]))
+    clean = pii.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean.startswith("é0 <EMAIL> <IP> é1 <EMAIL> <IP>") and clean.count("<EMAIL>") == n
