@@ -5,11 +5,14 @@ P(w | v) = L * P(class(w) | class(v)) * P(w | class(w)) + (1 - L) * U(w)
 with U the additively smoothed unigram.  The CORE most frequent words are
 clustered by the exchange algorithm (each word in turn moves to the class that
 raises the likelihood of the class bigrams most) on their full bigram counts.
-Every further word of the HEAD makes one exchange move given those classes,
-from its counts of neighbouring classes over the whole training corpus, in
-parallel.  Rarer words share a residual class, in which absolute discounting
-leaves the mass for unknown words; the end of a text is a class of its own and
-also stands before the first word.
+That seeds the classes.  Every further word of the HEAD makes one exchange move
+given those, from its counts of neighbouring classes over the whole training
+corpus, and then all words of the head, the core among them, are exchanged in
+distributed sweeps: each word in parallel against fixed class counts, which are
+taken anew after each sweep, until no more than SETTLED of the words move or
+PARALLEL sweeps are made.  Rarer words share a residual class, in which absolute
+discounting leaves the mass for unknown words; the end of a text is a class of
+its own and also stands before the first word.
 
 What is kept in memory has fixed bounds (HEAD words, CLASSES**2 transitions,
 CORE**2 bigrams at most); the counts of all words are a distributed table, and
@@ -38,6 +41,8 @@ from lodestone.llm.textvec import Words, chunked, lists, signed, utf8
 
 CLASSES, CORE, HEAD = 32, 1024, 1 << 18
 SWEEPS = 6
+#: Most sweeps over the whole head, and the share of moving words that ends them.
+PARALLEL, SETTLED = 2, 0.005
 #: Share of the class model in the mixture, discount of the residual class, added to a transition.
 MIXTURE, DISCOUNT, ADDED = 0.9, 0.75, 0.1
 #: Stands for the end of a text.
@@ -187,10 +192,14 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return kind
 
 
-def _moves(training: DataFrame, lookup: Lookup, kind: np.ndarray, between: np.ndarray, head: int, core: int) -> np.ndarray:
-    """Classes of the head: each word outside the core makes one exchange move."""
-    C = between.shape[0]
-    lookup_ = training.sparkSession.sparkContext.broadcast((lookup, kind))
+def _moves(training: DataFrame, lookup: Lookup, kinds: np.ndarray, between: np.ndarray | None, first: int, classes: int) -> np.ndarray:
+    """Classes of the head after one exchange move of each word from place first on; kinds has -1 for words without a class.
+
+    between: class bigrams to judge the moves by; those of the moving words themselves if None.
+    A word without a neighbour that has a class gets -1.
+    """
+    C, head = classes, len(kinds)
+    lookup_ = training.sparkSession.sparkContext.broadcast((lookup, kinds))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, kinds = lookup_.value
@@ -200,19 +209,34 @@ def _moves(training: DataFrame, lookup: Lookup, kind: np.ndarray, between: np.nd
             for w in chunked(utf8(b.column(0))):
                 words, at = _tokens(w)
                 place = find(words)
-                k = np.where((place >= 0) & (place < core), kinds[np.clip(place, 0, core - 1)], -1)
+                k = np.where(place >= 0, kinds[np.maximum(place, 0)], -1)
                 before, after = _previous(k, at, -1), np.concatenate((k[1:], [-1]))
                 after[at[1:] - 1] = -1
                 for side, shift in ((before, 0), (after, C)):
-                    use = (place >= core) & (side >= 0)
+                    use = (place >= first) & (side >= 0)
                     cell, times = np.unique(place[use].astype(np.int64) * (2 * C) + side[use] + shift, return_counts=True)
                     flat[cell] += times.astype(np.int32)
         word, slot = np.nonzero(seen)
         if len(word):
-            held, first = np.unique(word, return_index=True)
-            cut = np.append(first, len(word))
+            held, start = np.unique(word, return_index=True)
+            cut = np.append(start, len(word))
             yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), lists(slot.astype(np.int32), cut), lists(seen[word, slot], cut)], ["word", "slots", "times"])
 
+    seen = written(training.select("text").mapInArrow(contexts, "word int, slots array<int>, times array<int>"), "contexts")
+    if between is None:
+
+        def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds, total = lookup_.value[1], np.zeros((C + 1) * 2 * C, np.int64)
+            for b in batches:
+                own = np.repeat(kinds[np.asarray(b.column(0))], np.asarray(b.column(1).value_lengths())).astype(np.int64)
+                np.add.at(total, np.where(own < 0, C, own) * 2 * C + np.asarray(b.column(1).flatten()), np.asarray(b.column(2).flatten()))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "c"])
+
+        got = seen.mapInArrow(by_class, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+        total = np.zeros((C + 1) * 2 * C, np.int64)
+        total[np.asarray(got.column("at"))] = np.asarray(got.column("c"))
+        between = total.reshape(C + 1, 2 * C)[:C, :C].T  # class before, class of the word
     rows, columns = between.sum(axis=1).astype(float), between.sum(axis=0).astype(float)
     follow = np.log((between + 0.5) / (rows[:, None] + 0.5 * C)) - np.log((columns + 0.5) / (columns.sum() + 0.5 * C))  # by chance 0
 
@@ -225,15 +249,14 @@ def _moves(training: DataFrame, lookup: Lookup, kind: np.ndarray, between: np.nd
         best = (total[held, :C] @ follow + total[held, C:] @ follow.T).argmax(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(best.astype(np.int32))], ["word", "class"])
 
-    n = max(1, head // 8192)
-    got = training.select("text").mapInArrow(contexts, "word int, slots array<int>, times array<int>").repartition(n, "word").mapInArrow(settle, "word int, class int").toArrow()
-    out = np.full(head, C, np.int32)  # without a neighbour in the core: the residual class
+    got = seen.repartition(max(1, head // 8192), "word").mapInArrow(settle, "word int, class int").toArrow()
+    out = np.full(head, -1, np.int32)
     out[np.asarray(got.column("word"))] = np.asarray(got.column("class"))
-    out[:core] = kind
+    out[:first] = kinds[:first]
     return out
 
 
-def scores(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int = HEAD, parallel: int = PARALLEL) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     docs = _read(docs)
     spark = docs.sparkSession
@@ -264,7 +287,15 @@ def scores(docs: DataFrame, classes: int = CLASSES, core: int = CORE, head: int
         kind = exchange(bigrams, C) if K > 1 else np.zeros(0, np.int64)
         member = np.zeros((K - 1, C))
         member[np.arange(K - 1), kind] = 1
-        of = _moves(training, lookup, np.concatenate(([-1], kind)).astype(np.int32), member.T @ bigrams @ member, H, K)
+        of = np.concatenate(([-1], kind, np.full(H - K, -1))).astype(np.int32)
+        of = _moves(training, lookup, of, member.T @ bigrams @ member, K, C)
+        for _ in range(parallel):
+            new = _moves(training, lookup, of, None, 1, C)
+            moved = int((new != of).sum())
+            of = new
+            if moved <= SETTLED * H:
+                break
+        of[of < 0] = R  # without a neighbour that has a class
     else:
         of = np.full(H, R, np.int32)
     of[:1] = E
