@@ -1,6 +1,7 @@
 """Toxicity by a lexicon trie met with Levenshtein automata.
 
-Learning: labelled rows (at most LABELLED, those of least hash) give a lexicon
+Learning: labelled rows (at most LABELLED, those of least hash, which bounds all
+that is learned from them: every term that passes the tests below is kept) give a lexicon
 of words and word beginnings that stand in toxic texts far more often than in
 others.  The terms form a trie.  The automaton of all strings within a term's
 edit distance, intersected with the trie, is made deterministic while it runs:
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
 
-#: Bound of the sample of labelled rows, and of the lexicon.
-LABELLED, TERMS = 200_000, 3_000
+#: Bound of the sample of labelled rows.
+LABELLED = 200_000
 #: A term's least documents, log odds and share of toxic documents.
 MIN_DOCUMENTS, MIN_LOG_ODDS, MIN_PRECISION = 4, 2.5, 0.8
 #: Tokens on each side of a hit.
@@ -46,10 +47,10 @@ WINDOW = 6
 #: Words kept with their verdict by a worker.
 KEPT = 300_000
 BEGINNINGS = (4, 5, 6, 7)
-#: Characters read as letters, and quotation marks.
+#: Characters read as letters, and quotation marks.
 LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 QUOTES = "\"“”„‟«»‹›‘’"
-#: Words that report speech, in the four languages.
+#: Words that report speech, in the four languages.
 REPORTING = frozenset("said says quote quoted called wrote claims sagte schrieb nannte zitat dit écrit appelé cité dijo escribió llamó cita".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -190,8 +191,8 @@ def choose_terms(counts: Iterable[tuple[str, int, int]], toxic: int, other: int)
     for term, a, b in counts:
         odds = math.log((a + 0.1) / (toxic + 1)) - math.log((b + 0.1) / (other + 1))
         if a >= MIN_DOCUMENTS and odds >= MIN_LOG_ODDS and a >= MIN_PRECISION * (a + b):
-            good.append((odds * math.log1p(a), term))
-    top = {t for _, t in sorted(good, key=lambda x: (-x[0], x[1]))[:TERMS]}
+            good.append(term)
+    top = set(good)
     beginnings: set[str] = set()
     for t in sorted((t[:-1] for t in top if t.endswith("*")), key=lambda t: (len(t), t)):
         if not any(t[:k] in beginnings for k in range(1, len(t))):
@@ -237,7 +238,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     counted = learn.where("not fitting").select("toxic", "text").mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     likely = counted.where((F.col("toxic") >= MIN_DOCUMENTS) & (F.col("toxic") >= F.lit(MIN_PRECISION) * (F.col("toxic") + F.col("other"))))
-    rows = [tuple(r) for r in likely.orderBy(F.col("toxic").desc(), "term").limit(20 * TERMS).collect()]
+    rows = [tuple(r) for r in likely.collect()]
     words, beginnings = choose_terms(rows, sizes.get(1, 0), sizes.get(0, 0))
     lexicon = docs.sparkSession.sparkContext.broadcast((words, beginnings))
 

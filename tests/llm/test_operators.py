@@ -246,3 +246,44 @@ def test_pii_many_matches_in_one_text(spark):
     assert got.spans.startswith(",".join(f"email:{a}:{b}" for a, b in at[:2000]))
     clean = pii.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
     assert clean.startswith("é0 <EMAIL> <IP> é1 <EMAIL> <IP>") and clean.count("<EMAIL>") == n
+
+
+def test_automaton_against_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    terms = ["idiot", "stupid", "moronically", "bad"]
+    matcher = toxicity.Matcher(terms, ["vile"])
+    letters = "idotsupmrncalybe"
+    import random
+
+    random.seed(1)
+    tried = set(terms) | {"vilest", "vile", "vil"}
+    for t in terms:
+        for _ in range(300):
+            w = list(t)
+            for _ in range(random.randint(0, 3)):
+                i = random.randrange(len(w) + 1)
+                random.choice([lambda: w.insert(i, random.choice(letters)), lambda: w.pop(i % len(w)) if len(w) > 1 else None, lambda: w.__setitem__(i % len(w), random.choice(letters))])()
+            tried.add("".join(w))
+    for w in tried:
+        near = any(distance(w, t) <= toxicity.edits_allowed(t) for t in terms)
+        assert (matcher.kind(w) > 0) == (near or w.startswith("vile")), w
+
+
+def test_language_model_base(docs):
+    import math
+
+    rows = texts()
+    words = {i: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for i, t, *_ in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
+    counts = Counter(w for i, *_ in rows if not held[i] for w in words[i])
+    n, v = sum(counts.values()), len(counts)
+    for r in brown_lm.scores(docs, classes=4, core=32, head=64).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words[r.doc_id]), sum(counts[w] > 0 for w in words[r.doc_id]), n, held[r.doc_id])
+        assert abs(r.base_score - sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words[r.doc_id])) < 1e-6 * len(words[r.doc_id])
