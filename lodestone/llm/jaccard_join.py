@@ -164,15 +164,16 @@ def one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """docs with one row of each component: the largest set, then the least doc_id.
 
     Which id stays is decided by an aggregation with a partial step, never by
-    a window over a component.  Rows without doc_id stay; of rows that repeat
-    an id one stays.
+    a window over a component.  A row without doc_id is known by a hash of its
+    text and gives way to a row with an id; of rows that repeat an id one stays.
     """
-    kept = join(docs, k, percent).where("doc_id is not null").groupBy("component_id").agg(F.max(F.struct("n_shingles", (-F.col("doc_id")).alias("back"))).alias("best"))
-    ids = kept.select((-F.col("best.back")).alias("doc_id"))
-    once = docs.join(ids, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
-    once = once.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
-    return once.unionByName(docs.where("doc_id is null"))
+    end = -(1 << 62)  # hashes stand below it
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2))
+    best = F.max(F.struct("n_shingles", (F.col("doc_id") >= end).alias("real"), (-F.col("doc_id")).alias("back"), "doc_id"))
+    ids = join(docs.select(known.alias("doc_id"), "text"), k, percent).groupBy("component_id").agg(best.alias("best")).select(F.col("best.doc_id").alias("_known"))
+    once = docs.withColumn("_known", known).join(ids, "_known", "left_semi")
+    order = Window.partitionBy("_known").orderBy(F.length("text").desc_nulls_last(), "text")
+    return once.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*docs.columns)
 
 
 ORACLE = r"""

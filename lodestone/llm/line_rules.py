@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import if_small, written
@@ -112,7 +112,7 @@ def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "line_times", "name"]
+    names = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "line_times", "name", "row_key"]
     for b in batches:
         for w in chunked(utf8(b.column(2))):
             base = _base(w)
@@ -140,16 +140,22 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lists(join(counts, np.int32), cut),
                     lists(join(times, np.int32), cut),
                     pa.array(signed(mix(np.array(sets, np.uint64)))),
+                    b.column(3).slice(w.first_row, n),
                 ],
                 names,
             )
 
 
+def _row_key(host: str) -> Column:
+    """A hash of what a row is judged by; rows of one key get one verdict, whatever their id is."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col(host).cast("string"), F.col("text").cast("string"))
+
+
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row a document: base figures, and its distinct lines as parallel
     arrays (hash, words, times it stands there), and the name of their set."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_digest, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>, line_times array<int>, name long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"), _row_key(host).alias("row_key"))
+    return read.mapInArrow(_digest, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>, line_times array<int>, name long, row_key long")
 
 
 def boilerplate(figures: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE_OF_HOST) -> DataFrame:
@@ -167,11 +173,11 @@ def boilerplate(figures: DataFrame, min_documents: int = MIN_DOCUMENTS, share: f
 
 
 def _above(figures: DataFrame, min_documents: int, share: float) -> DataFrame:
-    """Rows (uid, doc_id, host, line, words) of the lines above their host's limit in each row of figures."""
+    """Rows (uid, row_key, line, words) of the lines above their host's limit in each row of figures."""
     # a host's line is found again by a hash of both, which one long holds
     frequent = written(boilerplate(figures, min_documents, share).select("key").distinct(), "boilerplate")
-    long = figures.where(F.size("lines") > 0).select("uid", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words", "line_times")).alias("x"))
-    long = long.select("uid", "doc_id", "host", F.col("x.lines").alias("line"), F.xxhash64("host", "x.lines").alias("key"), (F.col("x.line_words") * F.col("x.line_times")).cast("long").alias("words"))
+    long = figures.where(F.size("lines") > 0).select("uid", "row_key", "host", F.explode(F.arrays_zip("lines", "line_words", "line_times")).alias("x"))
+    long = long.select("uid", "row_key", F.col("x.lines").alias("line"), F.xxhash64("host", "x.lines").alias("key"), (F.col("x.line_words") * F.col("x.line_times")).cast("long").alias("words"))
     small = if_small(frequent)
     if small is frequent:  # too many to broadcast: a frequent line's rows are dealt over SALTS tasks
         salted = frequent.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -189,7 +195,7 @@ def _verdicts(figures: DataFrame, above: DataFrame, min_words_left: int, min_sha
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & (left >= min_words_left) & (left >= F.col("n_words") * F.lit(min_share_left)))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", "row_key")
     )
 
 
@@ -200,7 +206,7 @@ def _figures(docs: DataFrame, host: str) -> DataFrame:
 def rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE_OF_HOST, min_words_left: int = MIN_WORDS_LEFT, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
     """One row a document: base figures, base_failed, words in removed lines, kept."""
     figures = _figures(docs, host)
-    return _verdicts(figures, _above(figures, min_documents, share), min_words_left, min_share_left)
+    return _verdicts(figures, _above(figures, min_documents, share), min_words_left, min_share_left).drop("row_key")
 
 
 def _without(docs: DataFrame) -> DataFrame:
@@ -246,18 +252,15 @@ def _without(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE_OF_HOST, min_words_left: int = MIN_WORDS_LEFT, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
     """docs that the rules keep, their texts without the lines above the limits.
 
-    The verdict is taken to the rows by the list of rejected ids, where that
-    is small enough to broadcast, or by a join.  Of rows that share an id all
-    stay if one is kept; rows without doc_id are judged no worse and stay.
-    The lines are taken to the rows by doc_id and host: a line above its host's
-    limit is so in all rows of the host.
+    Rows are judged one by one, those without doc_id too: verdicts and lines
+    are taken to the rows by a hash of id, host and text, the rejected ones as a
+    list, where that is small enough to broadcast, or by a join.
     """
     figures = _figures(docs, host)
     above = written(_above(figures, min_documents, share), "above")
     verdicts = _verdicts(figures, above, min_words_left, min_share_left)
-    rejected = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    rejected = written(rejected.where("doc_id is not null"), "rejected")
-    kept = docs.join(if_small(rejected), "doc_id", "left_anti").select(*docs.columns)
-    gone = above.join(if_small(rejected), "doc_id", "left_anti").groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_lines"))
-    same = kept["doc_id"].cast("long").eqNullSafe(F.col("_id")) & kept[host].cast("string").eqNullSafe(F.col("_host"))
-    return _without(kept.join(if_small(written(gone, "gone"), LISTS), same, "left").select(*(kept[c] for c in docs.columns), "_lines"))
+    rejected = written(verdicts.where("not kept").select(F.col("row_key").alias("_key")).distinct(), "rejected")
+    keyed = docs.withColumn("_key", _row_key(host))
+    gone = above.select(F.col("row_key").alias("_key"), "line").join(if_small(rejected), "_key", "left_anti").groupBy("_key").agg(F.collect_set("line").alias("_lines"))
+    kept = keyed.join(if_small(rejected), "_key", "left_anti").join(if_small(written(gone, "gone"), LISTS), "_key", "left")
+    return _without(kept.select(*docs.columns, "_lines"))

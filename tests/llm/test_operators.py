@@ -287,3 +287,20 @@ def test_language_model_base(docs):
     for r in brown_lm.scores(docs, classes=4, core=32, head=64).collect():
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words[r.doc_id]), sum(counts[w] > 0 for w in words[r.doc_id]), n, held[r.doc_id])
         assert abs(r.base_score - sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words[r.doc_id])) < 1e-6 * len(words[r.doc_id])
+
+
+def test_pipeline_stages(spark, docs, none):
+    bad = [(None, None, None, None), (None, "", "en", "s0"), (None, words(80, "unnamed"), "en", "s0"), (None, words(80, "unnamed"), "en", "s0"), (None, "too short", "en", None), (77, words(80, "named"), "en", None), (77, words(80, "named"), "en", None)]
+    odd = spark.createDataFrame([(*r, len(r[1]) if r[1] else None, "n", "u", 1) for r in bad], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, "").count() == 0, name
+        for table in (docs, odd):
+            got = stage(spark, table, "")
+            assert got.columns == table.columns, name
+            rows = {tuple(r)[:1] for r in table.collect()}
+            assert {tuple(r)[:1] for r in got.collect()} <= rows, name
+    assert sorted((r.doc_id or 0, r.text[:5]) for r in corpus_pipeline.quality_rules(spark, odd, "").collect()) == sorted((i or 0, t[:5]) for i, t, *_ in bad if t and len(t) > 80)
+    kept = corpus_pipeline.jaccard_dedup(spark, odd, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if len(r.text or "") > 80) == sorted([(0, words(80, "unnamed")), (77, words(80, "named"))])
+    tokens = corpus_pipeline.encode_bpe(spark, odd, "")
+    assert tokens.count() == len(bad) and corpus_pipeline.encode_bpe(spark, none, "").count() == 0
