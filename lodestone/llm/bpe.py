@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Characters of a text encoded in one call.
 PIECE_CHARS = 1 << 16
-_BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+_BOUNDARY = re.compile(r"(?<=\S)(?=[\t\n\v\f\r ])")
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
