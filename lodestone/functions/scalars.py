@@ -107,3 +107,16 @@ def hlc_packed(physical: Column, logical: Column, node: Column) -> Column:
 def lag_bucket(minutes: Column) -> Column:
     """The least of 1, 2, 4 .. 128 that is not below the minutes."""
     return F.least(F.lit(128), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(minutes, F.lit(1.0))))).cast("int"))
+
+
+def graph_distance(path: Column) -> Column:
+    """1 - exp(-path / 3) of a path length; 1 without a path."""
+    return F.coalesce(1 - F.exp(-path / 3), F.lit(1.0))
+
+
+def halves(a: Column, b: Column) -> Column:
+    return 0.5 * a + 0.5 * b
+
+
+#: Measures of two vectors by name.
+METRICS = {"cosine": cosine, "dot": dot, "l2": l2}

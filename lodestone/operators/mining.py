@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.storage import components, written
+
 
 def items(df: DataFrame, row: str, columns: Sequence[str]) -> DataFrame:
     """row, item: "column:value" for every value that isn't null."""
@@ -17,12 +19,13 @@ def items(df: DataFrame, row: str, columns: Sequence[str]) -> DataFrame:
 def cooccurrence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, n for ordered pairs of a row's items with the diagonal.
 
-    Pairs are made inside each row, whose items are as few as the columns;
-    nothing is joined, and counts are pre-aggregated.
+    Equal rows are counted first, so pairs are made of distinct combinations
+    only; nothing is joined.
     """
+    combined = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     made = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in columns)))
-    one = df.select(made.alias("xs")).select("xs", F.explode("xs").alias("a"))
-    return one.select("a", F.explode("xs").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    one = combined.select("_n", made.alias("xs")).select("_n", "xs", F.explode("xs").alias("a"))
+    return one.select("_n", "a", F.explode("xs").alias("b")).groupBy("a", "b").agg(F.sum("_n").alias("n"))
 
 
 def rules(pairs: DataFrame, total: int, min_support: float = 0.0) -> DataFrame:
@@ -99,25 +102,17 @@ def eigenvector(edges: DataFrame, rounds: int = 20, checkpoint_every: int = 2) -
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
-
-
-def communities(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, community: connected components, named by their least member; edges: src, dst both ways."""
-    x = edges.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    for _ in range(rounds):
-        near = edges.join(x, edges["dst"] == x["id"]).groupBy(F.col("src").alias("id")).agg(F.min("community").alias("least"))
-        new = cut(x.join(near, "id").select("id", F.least("community", "least").alias("community")))
-        if new.exceptAll(x).isEmpty():
-            return new
-        x = new
-    raise RuntimeError("the communities did not settle")
+    """Cut the lineage by a written table in the shared folder."""
+    return written(df, "graph")
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """id, community: connected components, named by their least member; edges: src, dst.
+
+    Alternating star steps, so the rounds grow with the logarithm of the longest path.
+    """
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return found.select(F.col("node").alias("id"), F.col("component").alias("community"))
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:

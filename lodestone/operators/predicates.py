@@ -10,8 +10,9 @@ import operator
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.schema import ABSORBED, ANOMALOUS, CAPTURE, CHANNEL, CONFIDENCE, CONFIRMATION, EXPORTABILITY, KIND, SENSITIVITY, SOURCE_TYPE, STATE, TRUST, VAGUE
 
@@ -38,6 +39,14 @@ def ne(c: str, v: object, null_safe: bool = False) -> Column:
     return ~eq(c, v, null_safe)
 
 
+def is_null(c: str) -> Column:
+    return F.col(c).isNull()
+
+
+def is_not_null(c: str) -> Column:
+    return F.col(c).isNotNull()
+
+
 def one_of(c: str, values: Sequence[object]) -> Column:
     return F.col(c).isin(list(values)) if values else F.lit(False)
 
@@ -130,3 +139,25 @@ def chain(*filters: tuple[str, tuple[object, ...]], defaults: bool = True) -> Co
 def forbidden() -> Column:
     """Secret and public at once."""
     return (SENSITIVITY.value() == 48) & (EXPORTABILITY.value() == 32)
+
+
+def anomalous_gate(wanted: bool | None) -> Column:
+    """No test, only flagged rows, or only the others."""
+    return F.lit(True) if wanted is None else FILTERS["anomalous"](wanted)
+
+
+#: States that may follow each other: within a cluster to the next, from any known state to an ended one.
+TRANSITIONS = [(a, b) for a in (0, 1, 2, 3, 16, 17, 18, 19) for b in (0, 1, 2, 3, 16, 17, 18, 19, 32, 33) if a != b and (b >= 16 or a < 16)]
+
+
+def illegal_transitions(rows: DataFrame, entity: str, order: str, state: str) -> DataFrame:
+    """Successive states of an entity that no transition allows: an anti join with the table of transitions (under 100 rows)."""
+    after = F.lead(state).over(Window.partitionBy(entity).orderBy(order))
+    steps = rows.withColumn("before", F.col(state)).withColumn("after", after).where("after is not null")
+    legal = rows.sparkSession.createDataFrame(TRANSITIONS, "before long, after long")
+    return steps.join(F.broadcast(legal), ["before", "after"], "left_anti")
+
+
+def hydrated(rows: DataFrame, level: str) -> DataFrame:
+    """Records without their text at level bitmap, whole at structured and full."""
+    return rows.drop("text") if level == "bitmap" else rows

@@ -18,15 +18,12 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return words.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, query: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """doc_id and its integer impact for the query's terms.
+def impacts(hits: DataFrame, sizes: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """doc_id and its integer score from postings (term, doc_id, tf, dl) and one row (n_docs, avgdl).
 
-    Only postings of the query's terms leave the scan; impacts are rounded
-    half to even at two digits, so sums don't depend on their order.
+    Impacts are rounded half to even at two digits, so sums don't depend on
+    their order; k1 and b are fixed values.
     """
-    words = docs.select("doc_id", tokens(F.col("text")).alias("ws"))
-    sizes = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ws")).alias("avgdl"))
-    hits = words.select("doc_id", F.size("ws").alias("dl"), F.explode(F.filter("ws", lambda w: w.isin(list(query)))).alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     x = hits.join(F.broadcast(df), "term").join(F.broadcast(sizes))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -61,6 +58,49 @@ def nearest(df: DataFrame, probe: str, k: int, tie: str, farthest: bool = False)
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(probe).orderBy(order, F.col(tie)))).where(F.col("rank") <= k)
 
 
+def cosine_top_k(vectors: DataFrame, probes: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """probe, vec_id, rank, cosine: the k nearest vectors of each probe (probe, q), probe itself included.
+
+    Probes go out in blocks of bounded size; each task keeps the k best of
+    each probe over all its rows, so k rows a probe and task are shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    asked = probes.where("q is not null").toArrow()
+    ids, q = np.asarray(asked.column("probe")), np.array(asked.column("q").to_pylist(), float)
+    sent = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))) if len(ids) else None
+
+    def run(batches):
+        names, unit = sent.value
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.asarray(b.column(0))
+            v = np.asarray(b.column(1).flatten().cast(pa.float64())).reshape(len(own), -1)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            for at in range(0, len(names), block):
+                near = v @ unit[at : at + block].T
+                for i in range(near.shape[1]):
+                    score, item = np.concatenate((best[at + i][0], near[:, i])), np.concatenate((best[at + i][1], own))
+                    if len(score) > k:
+                        keep = np.flatnonzero(score >= np.partition(score, -k)[-k] - 1e-9)
+                        score, item = score[keep], item[keep]
+                    best[at + i] = (score, item)
+        for name, (score, item) in zip(names, best, strict=True):
+            if len(item):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), name)), pa.array(item), pa.array(score)], ["probe", "vec_id", "cosine"])
+
+    schema = "probe long, vec_id long, cosine double"
+    if sent is None:
+        return spark.createDataFrame([], schema + ", rank int")
+    found = vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null").mapInArrow(run, schema)
+    order = Window.partitionBy("probe").orderBy(F.round("cosine", 9).desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def diversified(pool: DataFrame, k: int, weight: float, item: str = "vec_id", vector: str = "embedding", relevance: str = "relevance") -> DataFrame:
     """Greedy maximal marginal relevance over a pool of at most 256 rows.
 
@@ -85,3 +125,13 @@ def diversified(pool: DataFrame, k: int, weight: float, item: str = "vec_id", ve
 
     bounded = pool.orderBy(F.col(relevance).desc(), item).limit(256)
     return bounded.withColumn("_pool", F.lit(0)).groupBy("_pool").applyInPandas(greedy, f"{item} long, position int")
+
+
+def frontier(limit: int, asked: int | None = None) -> int:
+    """Depth of the pool for a limit: four times it, between 64 and 256; an asked depth is held to the same bounds."""
+    return min(max(limit * 4 if asked is None else asked, 64), 256)
+
+
+def candidates(limit: int) -> int:
+    """Candidates of each lane: four times the limit, 32 at least."""
+    return max(limit * 4, 32)

@@ -51,9 +51,12 @@ def s09_as_of(t: Tables) -> DataFrame:
     return ds.visible_at(r, F.lit("2024-01-15").cast("timestamp_ntz"), "filed_at", "gone").select("doc_id")
 
 
-@query("SELECT count(*) AS row_count FROM orders")
+_ROW = "o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority"
+
+
+@query(f"SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substr(md5({_ROW}), 1, 15) AS HUGEINT)) % 18446744073709551616 AS VARCHAR) AS digest FROM orders")
 def s25_inventory(t: Tables) -> DataFrame:
-    return ds.inventory(t("orders")).select("row_count")
+    return ds.inventory(t("orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
 # --- predicates over packed fields
@@ -399,20 +402,15 @@ _BM = f"""WITH d AS (SELECT doc_id, {_TOK} AS ws FROM documents), z AS (SELECT c
 _QUERY = ("the", "and", "idiot", "version")
 
 
-@query(_BM + " SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 25")
-def t07_bm25(t: Tables) -> DataFrame:
-    return search.top(search.bm25(t("documents"), _QUERY), "score", 25, "doc_id")
-
-
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(p.embedding[i] AS DOUBLE)))"
 
 
-@query(f"WITH p AS (SELECT vec_id AS probe, embedding FROM embeddings WHERE vec_id < 5), s AS (SELECT p.probe, e.vec_id, {_COS} / sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) / sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS c FROM embeddings e, p), r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY c DESC, vec_id) AS rank FROM s) SELECT probe, vec_id, rank, round(c, 6) AS cosine FROM r WHERE rank <= 10")
+@query(f"WITH p AS (SELECT vec_id AS probe, embedding FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT p.probe, e.vec_id, {_COS} / sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) / sqrt(list_sum(list_transform(p.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS c FROM embeddings e, p), r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY c DESC, vec_id) AS rank FROM s) SELECT probe, vec_id, rank, round(c, 6) AS cosine FROM r WHERE rank <= 10")
 def d18_cosine_top_k(t: Tables) -> DataFrame:
     e = t("embeddings")
-    probes = e.where("vec_id < 5").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q"))
-    near = search.nearest(search.probe_distances(e, probes, sc.cosine(F.col("embedding"), F.col("q"))), "probe", 10, "vec_id", farthest=True)
-    return near.select("probe", "vec_id", "rank", r6("distance").alias("cosine"))
+    probes = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("q"))
+    near = search.cosine_top_k(e, probes, 10)
+    return near.select("probe", "vec_id", F.col("rank").cast("long").alias("rank"), r6("cosine").alias("cosine"))
 
 
 @query("SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127, 9) AS scale, CAST(list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) / (list_max(list_transform(embedding, lambda y: abs(CAST(y AS DOUBLE)))) / 127)) AS BIGINT))) AS BIGINT) AS total FROM embeddings")
@@ -429,18 +427,6 @@ def t09_diversified(t: Tables) -> DataFrame:
     return search.diversified(pool, 20, 0.7)
 
 
-@query(_BM + f", l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b ORDER BY rank LIMIT 32), " + _FP_SQL[5:] + ", pr AS (SELECT b0 AS q0, b1 AS q1, b2 AS q2, b3 AS q3 FROM f WHERE doc_id = 1), h AS (SELECT doc_id, row_number() OVER (ORDER BY CAST(bit_count(xor(b0, q0)) AS BIGINT) + bit_count(xor(b1, q1)) + bit_count(xor(b2, q2)) + bit_count(xor(b3, q3)), doc_id) AS rank FROM f, pr ORDER BY rank LIMIT 32), u AS (SELECT doc_id, 0.4 / (60 + rank) AS m, 1 AS lane FROM l UNION ALL SELECT doc_id, 0.6 / (60 + rank), 2 FROM h), g AS (SELECT doc_id, sum(m) AS s, CAST(bit_or(lane) AS BIGINT) AS lanes FROM u GROUP BY 1 ORDER BY round(s, 9) DESC, doc_id LIMIT 10) SELECT g.doc_id, round(s, 9) AS score, lanes, lang, n_chars FROM g JOIN documents USING (doc_id)")
-def q01_hybrid_recall(t: Tables) -> DataFrame:
-    d = t("documents")
-    lexical = search.ranked(search.top(search.bm25(d, _QUERY), "score", 32, "doc_id"), "score", "doc_id")
-    f = fingerprints(d)
-    probe = f.where("doc_id = 1").select(*(F.col(b).alias(f"q{b[1]}") for b in _B))
-    near = search.probe_distances(f, probe, -sc.hamming(_B, [f"q{i}" for i in range(4)]))
-    dense = search.ranked(search.top(near.select("doc_id", "distance"), "distance", 32, "doc_id"), "distance", "doc_id")
-    top = search.fused({"lexical": (lexical, 0.4), "dense": (dense, 0.6)}, "doc_id").withColumn("score", F.round("score", 9)).orderBy(F.col("score").desc(), "doc_id").limit(10)
-    return d.join(F.broadcast(top), "doc_id").select("doc_id", "score", F.col("lanes").cast("long").alias("lanes"), "lang", "n_chars")
-
-
 # --- text and scalar functions
 
 

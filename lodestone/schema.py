@@ -45,6 +45,11 @@ def records(documents: DataFrame) -> DataFrame:
         (i % 6 + F.shiftleft(i % 8, 6) + pick([1 << b for b in range(12, 19)], i) + bit(11, 20) + bit(13, 21) + bit(17, 26)).alias("operational"),
         (i % 5 + F.shiftleft(i % 3, 6) + F.shiftleft(i % 4, 18) + F.shiftleft(i % 57, 24)).alias("provenance"),
         F.timestamp_add("HOUR", i.cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("filed_at"),
+        F.timestamp_add("HOUR", (i - i % 48).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("event_time"),
+        F.concat(F.lit("l"), (i % 9).cast("string")).alias("lineage_id"),
+        F.concat((i % 10).cast("string"), F.lit("."), (i % 7).cast("string")).alias("udc_code"),
+        F.concat(F.lit("Q"), (i % 50).cast("string")).alias("qid"),
+        F.array(F.concat(F.lit("Q"), (i % 3).cast("string")), F.concat(F.lit("Q"), (i % 4).cast("string"))).alias("qids_secondary"),
     )
 
 
@@ -54,5 +59,6 @@ RECORDS_SQL = """r AS (
     [0,1,2,3,16,17,18,19,32,33][1 + doc_id % 10] + ([0,16,32,48][1 + doc_id % 4] << 6) + (((doc_id % 2) * 32) << 12) + ((doc_id % 7) << 18) AS adjective,
     doc_id % 6 + ((doc_id % 8) << 6) + (CAST(1 AS BIGINT) << (12 + doc_id % 7)) + CASE WHEN doc_id % 11 = 0 THEN 1048576 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 2097152 ELSE 0 END + CASE WHEN doc_id % 17 = 0 THEN 67108864 ELSE 0 END AS operational,
     doc_id % 5 + ((doc_id % 3) << 6) + ((doc_id % 4) << 18) + ((doc_id % 57) << 24) AS provenance,
-    TIMESTAMP '2024-01-01' + to_hours(doc_id) AS filed_at
+    TIMESTAMP '2024-01-01' + to_hours(doc_id) AS filed_at, TIMESTAMP '2024-01-01' + to_hours(doc_id - doc_id % 48) AS event_time,
+    'l' || (doc_id % 9) AS lineage_id, (doc_id % 10) || '.' || (doc_id % 7) AS udc_code, 'Q' || (doc_id % 50) AS qid, ['Q' || (doc_id % 3), 'Q' || (doc_id % 4)] AS qids_secondary
   FROM documents)"""

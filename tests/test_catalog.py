@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import catalog, measures  # noqa: F401
+from lodestone.plans import catalog, fields, measures, recall, signals  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SOME = ["s01_scan", "s06_upsert", "f19_default_filters", "f23_bit_fields", "j01_rank_fusion", "j07_lag_pairs", "a01_column_statistics", "a05_cooccurrence", "a17_current_state", "a29_mutual_information", "a30_divergence", "w04_modified_z", "t07_bm25", "q01_hybrid_recall", "g09_rules", "r25_field_last_writer", "a15_cascade", "a43_recall_scores", "a50_vocabulary", "a51_merkle", "d02_packed_clock", "d29_spectrum", "d37_keyed_digest", "g24_successors", "j08_conflict_pairs", "x35_fnv1a", "y05_attributes"]
+SOME = ["s01_scan", "s06_upsert", "f19_default_filters", "f23_bit_fields", "j01_rank_fusion", "j07_lag_pairs", "a01_column_statistics", "a05_cooccurrence", "a17_current_state", "a29_mutual_information", "a30_divergence", "w04_modified_z", "t07_bm25", "q01_hybrid_recall", "g09_rules", "r25_field_last_writer", "a15_cascade", "a43_recall_scores", "a50_vocabulary", "a51_merkle", "d02_packed_clock", "d29_spectrum", "d37_keyed_digest", "g24_successors", "j08_conflict_pairs", "x35_fnv1a", "y05_attributes", "s25_inventory", "f28_paging", "f26_illegal_transitions", "d12_simhash", "d15_float_simhash", "x18_query_precision", "x07_spanner", "q02_float_lane", "q04_precise_recall", "q07_session_hybrid", "q08_walk_recall", "q13_vague_recall", "j05_span_fusion", "d18_cosine_top_k"]
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +38,55 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, windowed(events).collect()))
 
 
+def test_dates():
+    from datetime import date
+
+    from lodestone.operators.dates import over_years, parse
+
+    day = lambda text: parse(text)[:2]
+    assert day("on 9 January 2024?") == (date(2024, 1, 9),) * 2 and day("March 3rd, 2023") == (date(2023, 3, 3),) * 2
+    assert day("in Feb 2024") == (date(2024, 2, 1), date(2024, 2, 29)) and day("2023 was fine") == (date(2023, 1, 1), date(2023, 12, 31))
+    assert day("2024-01-05 or 2023") == (date(2024, 1, 5),) * 2 and parse("no date here") is None and parse("31 February 2024").start == date(2024, 2, 1)
+    assert parse("every december").month == 12 and len(over_years(parse("every december"), 2020, 2022)) == 3
+    assert parse("2024-01-05").padded(99).start == date(2023, 12, 26)
+
+
+def test_dataset_lifecycle(spark, tmp_path):
+    from lodestone.operators import datasets as ds
+
+    path, csv = str(tmp_path / "ds"), tmp_path / "rows.csv"
+    csv.write_text("id,name\n2,b\n1,a\n")
+    assert ds.create(spark, path, {"id": "int", "name": "text"}).count() == 0
+    ds.append(spark.createDataFrame([(5, "x")], "id long, name string"), path, "id")
+    assert [r.name for r in ds.opened(spark, path).collect()] == ["x"]
+    assert ds.drop(spark, path) and not ds.drop(spark, path)
+    assert sorted(r.id for r in ds.filed(spark, path, {"id": "int", "name": "text"}, str(csv), "id").collect()) == [1, 2]
+    ds.drop(spark, path)
+    csv.write_text("id,name\nnot a number,b\n")
+    with pytest.raises(Exception):
+        ds.filed(spark, path, {"id": "int", "name": "text"}, str(csv))
+    assert not (tmp_path / "ds").exists()
+    with pytest.raises(ValueError):
+        ds.declared({"bad name": "int"})
+
+
+def test_components_of_a_long_path(spark):
+    from lodestone.operators.mining import communities
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "src long, dst long")
+    assert {r.id: r.community for r in communities(edges).collect()} == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_morton_and_splitmix(spark):
+    from lodestone.operators import bits
+
+    assert bits.splitmix(0, 1) == [0xE220A8397B1DCDAF]
+    row = (-5, 77, 1 << 40, -(1 << 63))
+    key = spark.createDataFrame([row], "b0 long, b1 long, b2 long, b3 long").select(bits.morton()).first()[0]
+    bit = lambda i: row[i // 64] >> (i % 64) & 1
+    assert int(key, 16) == sum(bit(i) << 2 * i | bit((97 * i + 41) & 255) << 2 * i + 1 for i in range(256)) and len(key) == 128
+
+
 def test_null_rows_are_kept_by_delete(spark):
     from pyspark.sql import functions as F
 
