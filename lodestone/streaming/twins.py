@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.operators.storage import shared_dir
 
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -15,12 +18,36 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
     return source.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def drained(stream: DataFrame, transform, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there (availableNow) and return its result."""
-    name = f"drain_{uuid.uuid4().hex}"
-    run = transform(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, transform, mode: str = "complete", where: str | None = None) -> DataFrame:
+    """Run a stream over all that is there (availableNow) and return its result.
+
+    Every micro-batch is written to the shared folder, under its number so that
+    a batch which runs again replaces itself; the checkpoint beside it says
+    where to go on.  In complete mode the last batch is the result.
+    """
+    spark = stream.sparkSession
+    path = where or f"{shared_dir(spark)}/drain-{uuid.uuid4().hex}"
+    shaped = transform(stream)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    run = shaped.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = spark.read.schema(T.StructType([*shaped.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/out")
+    if mode != "complete":
+        return out.drop("batch")
+    last = out.agg(F.max("batch").alias("batch"))
+    return out.join(F.broadcast(last), "batch", "left_semi").drop("batch")
+
+
+def drained_file(df: DataFrame, transform) -> DataFrame:
+    """A stored table read as a stream and drained."""
+    files = df.inputFiles()
+    spark = df.sparkSession
+    root = files[0].rsplit("/", 1)[0]
+    names = "{" + ",".join(f.rsplit("/", 1)[1] for f in files) + "}" if len(files) > 1 else files[0].rsplit("/", 1)[1]
+    return drained(spark.readStream.schema(df.schema).option("pathGlobFilter", names).parquet(root), transform)
 
 
 def change_feed(spark: SparkSession, path: str, schema) -> DataFrame:
