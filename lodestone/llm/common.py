@@ -1,109 +1,6 @@
-"""Helpers shared by the corpus operators: durable intermediate tables,
-size-checked broadcasts and connected components on DataFrames."""
+"""What the corpus operators share with the rest: durable intermediate tables,
+size-checked broadcasts and connected components."""
 
-from __future__ import annotations
+from lodestone.operators.storage import BROADCAST_ROWS, components, if_small, release, shared_dir, union, written
 
-import atexit
-import tempfile
-import uuid
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a side of a long key alone may be broadcast; such a row
-#: costs under 64 bytes in the hash relation, so the bound is 13 MB; building
-#: it takes the driver several times that.
-BROADCAST_ROWS = 200_000
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir.
-
-    A folder of our own is used only if that is unset, as in local tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def release() -> None:
-    """Delete the intermediate tables of this process."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder, read it back.
-
-    Unlike a local checkpoint the files outlive any executor, and later steps
-    read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.parquet(path)
-
-
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted), else as it is.
-
-    df should be a written table or a small aggregate of one: it is counted first.
-    """
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, component), component the least node.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014), each a
-    pair of aggregations whose partial step shrinks a hot node before the
-    shuffle; nodes without an edge are absent.  Every round is written to the
-    shared folder, and only a change counter reaches the driver.
-    """
-    def tidy(e: DataFrame) -> DataFrame:
-        return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-
-    now = written(tidy(edges), "edges")
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(rounds):
-        # large star: every neighbour above a node is tied to the least of its neighbourhood
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        # small star: neighbours below a node, and the node, are tied to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        new = written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        # a forest of stars: no node is both a leaf and a centre
-        done = new.select("a").distinct().join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
-        once = done and new.groupBy("a").count().where("count > 1").isEmpty()
-        now = new
-        if once:
-            break
-    else:
-        raise RuntimeError("the components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+__all__ = ["BROADCAST_ROWS", "components", "if_small", "release", "shared_dir", "union", "written"]
