@@ -3,7 +3,7 @@
 Vectors are dealt over tasks by falling length (ties by id, so copies of one
 vector spread), and each task cuts its share into small buckets of similar
 length.  A query meets the buckets from the longest down with the k-th best
-product known so far, theta.  For a bucket of greatest length l, theta / (|q| l)
+product that the task knows so far, theta.  For a bucket of greatest length l, theta / (|q| l)
 is the cosine that a vector of the bucket needs at least, the local threshold:
 
 * above 1 the bucket, and all shorter ones, are skipped (length pruning);
@@ -95,13 +95,14 @@ class _Best:
         return max(own, self.floor)
 
 
-def _search(ids: np.ndarray, v: np.ndarray, queries: list[tuple[int, np.ndarray, float]], k: int) -> Iterator[tuple[int, _Best]]:
+def _search(ids: np.ndarray, v: np.ndarray, queries: list[tuple[int, np.ndarray, float]], held: list[_Best]) -> None:
+    """Take a share of the vectors into the best of each query."""
     norms = np.sqrt((v * v).sum(axis=1))
     order = np.lexsort((ids, -norms))
     ids, v, norms = ids[order], v[order], norms[order]
     unit = v / np.maximum(norms, 1e-300)[:, None]
-    for query_id, q, floor in queries:
-        best, length = _Best(k, floor), float(np.sqrt((q * q).sum()))
+    for (query_id, q, _), best in zip(queries, held, strict=True):
+        length = float(np.sqrt((q * q).sum()))
         focus = np.argsort(-np.abs(q))[:FOCUS]
         for at in range(0, len(ids), BUCKET):
             s = slice(at, at + BUCKET)
@@ -125,7 +126,6 @@ def _search(ids: np.ndarray, v: np.ndarray, queries: list[tuple[int, np.ndarray,
             if live.any():
                 got = np.flatnonzero(live) + at
                 best.add(_products(v[got], q), ids[got])
-        yield query_id, best
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -171,13 +171,16 @@ def _block(dealt: DataFrame, seeds: pa.Table, asked: pa.Table, k: int) -> DataFr
     sent = dealt.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one result a query over the whole task, so thresholds only rise and k rows a query leave it
+        held: dict[int, list[_Best]] = {}
         for b in batches:
             for rows, m in _matrix(b.column(1)) if b.num_rows else []:
-                own = np.asarray(b.column(0))[rows]
-                for query_id, best in _search(own, m, sent.value.get(m.shape[1], []), k):
-                    n = len(best.ids)
-                    if n:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, query_id)), pa.array(best.ids), pa.array(best.score)], ["query_id", "vec_id", "score"])
+                asked_ = sent.value.get(m.shape[1], [])
+                _search(np.asarray(b.column(0))[rows], m, asked_, held.setdefault(m.shape[1], [_Best(k, floor) for _, _, floor in asked_]))
+        for d, bests in held.items():
+            for (query_id, _, _), best in zip(sent.value.get(d, []), bests, strict=True):
+                if n := len(best.ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, query_id)), pa.array(best.ids), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
     return dealt.mapInArrow(run, _OUT)
 
