@@ -1,7 +1,7 @@
 """K-d tree sharding at distributed weighted medians.
 
-A document is a point of metadata dimensions (length, language, source,
-source position) with its bytes as weight.  A node that has to become m
+A document is a point of metadata dimensions (language, source, length) with
+its bytes as weight.  A node that has to become m
 leaves is split along the dimension in which its points lie widest, relative
 to the whole table's width, at the weighted quantile that gives floor(m/2)/m
 of the bytes to the left.  Points are ordered in a dimension by value and then

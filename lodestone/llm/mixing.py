@@ -71,14 +71,14 @@ def shared_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     return kept.withColumn("budget", F.when(F.col("_full"), F.col("cap")).otherwise(part).cast("long")).drop("_w", "_used", "_full", "_rest", "_open")
 
 
-def budgets(leaves: DataFrame, total: Column | int, epochs: int, domains: dict[str, int], langs: dict[str, int]) -> DataFrame:
+def budgets(leaves: DataFrame, total: Column | int, epochs: int, domains: dict[str, int], langs: dict[str, int], sources: dict[str, int] | None = None) -> DataFrame:
     """leaves (domain, lang, source, tokens) with each one's budget."""
     caps = leaves.withColumn("cap", F.col("tokens") * epochs)
     top = caps.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("given", F.lit(total).cast("long")).withColumn("weight", _weight("domain", domains))
     top = shared_out(top, [], "domain").select("domain", F.col("budget").alias("given"))
     mid = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(top, "domain").withColumn("weight", _weight("lang", langs))
     mid = shared_out(mid, ["domain"], "lang").select("domain", "lang", F.col("budget").alias("given"))
-    low = caps.join(mid, ["domain", "lang"]).withColumn("weight", F.lit(1).cast("decimal(20,0)"))
+    low = caps.join(mid, ["domain", "lang"]).withColumn("weight", _weight("source", sources or {}))
     return shared_out(low, ["domain", "lang"], "source").select(*LEAF, "tokens", "budget")
 
 
@@ -90,11 +90,11 @@ def placed(docs: DataFrame) -> DataFrame:
     ).select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", "n_tokens")
 
 
-def cutoffs(table: DataFrame, epochs: int, share: tuple[int, int], domains: dict[str, int], langs: dict[str, int], seed: int) -> DataFrame:
+def cutoffs(table: DataFrame, epochs: int, share: tuple[int, int], domains: dict[str, int], langs: dict[str, int], seed: int, sources: dict[str, int] | None = None) -> DataFrame:
     """A row a leaf: budget, whole epochs, and the last place (part, key, id) taken of the next one."""
     leaves = written(table.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
     sums = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.max("rows"), F.lit(1)).alias("r")).first()
-    planned = written(budgets(leaves.drop("rows"), sums["t"] * share[0] // share[1], epochs, domains, langs).where("tokens > 0").withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens")), "budgets")
+    planned = written(budgets(leaves.drop("rows"), sums["t"] * share[0] // share[1], epochs, domains, langs, sources).where("tokens > 0").withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens")), "budgets")
     # at least as many parts as rows in one, so that the sums and the one part put in order are both near the square root of a leaf
     width = 1
     while sums["r"] > 256**width:
@@ -124,10 +124,10 @@ def chosen(docs: DataFrame, cuts: DataFrame, seed: int = SEED) -> DataFrame:
     return joined.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).drop("whole", "rest", "edge", "last_key", "width")
 
 
-def mix(docs: DataFrame, epochs: int = EPOCHS, share: tuple[int, int] = SHARE, domains: dict[str, int] | None = None, langs: dict[str, int] | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, epochs: int = EPOCHS, share: tuple[int, int] = SHARE, domains: dict[str, int] | None = None, langs: dict[str, int] | None = None, seed: int = SEED, sources: dict[str, int] | None = None) -> DataFrame:
     """Rows (doc_id, domain, lang, source, n_tokens, epoch, leaf_budget): every document in every epoch it is taken in."""
     table = written(placed(docs), "tokens")
-    cuts = cutoffs(table, epochs, share, DOMAIN_WEIGHTS if domains is None else domains, LANG_WEIGHTS if langs is None else langs, seed)
+    cuts = cutoffs(table, epochs, share, DOMAIN_WEIGHTS if domains is None else domains, LANG_WEIGHTS if langs is None else langs, seed, sources)
     return chosen(table, cuts, seed).select("doc_id", *LEAF, "n_tokens", F.col("epoch").cast("int").alias("epoch"), "leaf_budget")
 
 

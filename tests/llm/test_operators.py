@@ -304,3 +304,43 @@ def test_pipeline_stages(spark, docs, none):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept if len(r.text or "") > 80) == sorted([(0, words(80, "unnamed")), (77, words(80, "named"))])
     tokens = corpus_pipeline.encode_bpe(spark, odd, "")
     assert tokens.count() == len(bad) and corpus_pipeline.encode_bpe(spark, none, "").count() == 0
+
+
+def test_shards_balance(spark):
+    rows = [(i, words(20 + i % 60, f"shard {i}"), "en" if i % 3 else "de", f"s{i % 5}" if i % 2 else "hot", 100 + i) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    weight = lambda got: [sum(r.size for r in got if r.shard == s) for s in sorted({r.shard for r in got})]
+    total = sum(len(r[1].encode()) + 8 for r in rows)
+    sizes = weight(kd_shards.shards(docs, n_shards=6).collect())
+    assert len(sizes) == 6 and sum(sizes) == total and max(sizes) - min(sizes) <= 0.05 * total / 6
+    by_target = weight(kd_shards.shards(docs, target_bytes=total // 4 + 1000).collect())
+    assert len(by_target) == 4 and max(by_target) <= total // 4 + 1000
+
+
+def test_paragraph_recall_against_all_pairs(spark):
+    import random
+
+    random.seed(4)
+    rows = []
+    for g in range(12):
+        base = words(70, f"recall {g}").split()
+        for _ in range(6):
+            text = list(base)
+            for _ in range(random.randint(0, 2)):
+                text[random.randrange(len(text))] = words(1, random.random())
+            rows.append((len(rows), " ".join(text)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).where("word_start = 0 and word_end = 70").collect()
+    of = {r.doc_id: r.component_id for r in got}
+    found = sum(a in of and of[a] == of.get(b) for a, b in pairs)
+    assert len(pairs) > 60 and found >= 0.9 * len(pairs)
+    for a in of:  # nothing is linked across groups
+        assert all(of[a] != of[b] for b in of if a // 6 != b // 6)
+
+
+def test_mixing_by_source_weights(spark):
+    rows = [(i, "w " * 10, "en", f"s{4 * (i % 2)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, epochs=1, share=(1, 2), domains={}, langs={}, sources={"s0": 3, "s4": 1}).groupBy("source").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in got} == {"s0": 1500, "s4": 500}
