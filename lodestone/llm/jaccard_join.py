@@ -131,6 +131,18 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, part int, n int, items array<long>")
 
 
+def _once(sets: DataFrame) -> DataFrame:
+    """sets (with uid) with one row of each node and part.
+
+    Only rows that repeat an id come twice, so copies are looked for by their
+    names, and the items are not shuffled.
+    """
+    copies = written(sets.groupBy("node", "part").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("node", "part", "first"), "copies")
+    if copies.isEmpty():
+        return sets.drop("uid")
+    return written(sets.join(if_small(copies), ["node", "part"], "left").where("first is null or uid = first").drop("uid", "first"), "sets")
+
+
 def _kept_columns(table: DataFrame) -> DataFrame:
     """Blocks (block, node, n, rank): the rare shared columns of each row that
     pass its bounds; rank: the entries of the part that no other row has."""
@@ -152,7 +164,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # one document of each set that is left, to take the whole set from
     chosen = written(table.select("node", "doc_id").join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "chosen")
     sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(if_small(chosen), "doc_id", "left_semi")
-    sets = written(full_sets(sources, k).dropDuplicates(["node", "part"]), "sets")
+    sets = _once(written(full_sets(sources, k).withColumn("uid", F.monotonically_increasing_id()), "sets"))
     found = linked_components(blocks, table.select("node", "sketch"), SKETCH, percent, lambda pairs: verified(pairs, sets, percent))
     labelled = table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node", "left").withColumn("group", F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "node")))
     # a table of its own, so that a hot group's rows can be split in the join
