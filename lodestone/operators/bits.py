@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -87,3 +88,24 @@ def partial_match(match: Sequence[int], differ: Sequence[int], near: Sequence[st
     """(1 - distance share of the blocks that should match) times the share of those that should differ."""
     share = lambda at: sum((F.bit_count(F.col(near[i]).bitwiseXOR(F.col(far[i]))) for i in at), F.lit(0)) / F.lit(64.0 * len(at))
     return (1 - share(match) if match else F.lit(1.0)) * (share(differ) if differ else F.lit(1.0))
+
+
+def set_bits(c: Column, size: int) -> Column:
+    """The numbers of the set bits below size, rising."""
+    return F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.call_function("shiftright", c, i).bitwiseAND(F.lit(1)) == 1)
+
+
+def laplace(seed: int, n: int, scale: float) -> list[float]:
+    """n draws of Laplace noise from the SplitMix64 stream, by the inverse of its distribution."""
+    uniform = [(x >> 11) / (1 << 53) - 0.5 for x in splitmix(seed, n)]
+    return [math.copysign(scale, -u if u else -1.0) * math.log(1.0 - 2.0 * abs(u)) if abs(u) < 0.5 else math.inf for u in uniform]
+
+
+def private_or(df: DataFrame, c: str, size: int, epsilon: float, contributors: int, seed: int) -> DataFrame:
+    """(bit, held) of the first size bits: whether the count of rows with the bit, with noise of scale 1 / epsilon, is at least contributors; no rows hold no bit.
+
+    The counts are one aggregation of size sums; rows never leave it.
+    """
+    counts = df.agg(*(F.sum(F.getbit(c, F.lit(i))).alias(str(i)) for i in range(size)))
+    noise = laplace(seed, size, 1.0 / epsilon)
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(i).alias("bit"), F.coalesce(F.col(f"`{i}`") + noise[i] >= contributors, F.lit(False)).alias("held")) for i in range(size)))))

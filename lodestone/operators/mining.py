@@ -81,6 +81,19 @@ def closure(transactions: DataFrame, intent: Sequence[str], items_column: str =
     return each.join(F.broadcast(n)).where(F.col("n") == F.col("support")).groupBy("support").agg(F.array_sort(F.collect_list("item")).alias("closure"))
 
 
+def pair_concepts(transactions: DataFrame, items_column: str = "items") -> DataFrame:
+    """(a, b, extent, intent): for each pair of attributes that some row holds, how many rows hold both, and what all of those hold (joined by ;).
+
+    Equal rows are counted before pairs are made; a row makes as many as its
+    own attributes allow.
+    """
+    rows = transactions.select(F.array_sort(F.array_distinct(items_column)).alias("xs")).groupBy("xs").agg(F.count(F.lit(1)).alias("n"))
+    pairs = rows.select("xs", "n", F.posexplode("xs").alias("i", "a")).select("xs", "n", "a", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("b"))
+    held = pairs.select("a", "b", "n", F.explode("xs").alias("item")).groupBy("a", "b", "item").agg(F.sum("n").alias("n"))
+    every = held.groupBy("a", "b").agg(F.max("n").alias("extent"), F.array_sort(F.collect_list(F.struct("item", "n"))).alias("held"))
+    return every.select("a", "b", "extent", F.array_join(F.transform(F.filter("held", lambda h: h["n"] == F.col("extent")), lambda h: h["item"]), ";").alias("intent"))
+
+
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """src, dst in both directions, without loops or repeats."""
     e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")

@@ -127,6 +127,21 @@ def diversified(pool: DataFrame, k: int, weight: float, item: str = "vec_id", ve
     return bounded.withColumn("_pool", F.lit(0)).groupBy("_pool").applyInPandas(greedy, f"{item} long, position int")
 
 
+def within_bits(df: DataFrame, probes: DataFrame, item: str, bits: str, size: int, most: int) -> DataFrame:
+    """(probe, item, distance) of rows whose bits (size of them, in a long) differ from a probe's in at most `most` places; nulls match nothing.
+
+    Exact without comparing all: of most + 1 runs of bits two such rows share
+    one, and meet at the first run they share.  probes: probe, and the bits.
+    """
+    cuts = [size * i // (most + 1) for i in range(most + 2)]
+    runs = lambda: F.array(*(F.struct(F.lit(i).alias("run"), F.shiftrightunsigned(F.col(bits), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+    rows = df.where(F.col(bits).isNotNull()).select(item, F.col(bits).alias("_b"), runs().alias("_r")).select(item, "_b", "_r", F.inline("_r"))
+    asked = probes.where(F.col(bits).isNotNull()).select("probe", F.col(bits).alias("_p"), runs().alias("_q")).select("probe", "_p", "_q", F.inline("_q"))
+    met = rows.join(asked, ["run", "value"]).withColumn("distance", F.bit_count(F.col("_b").bitwiseXOR(F.col("_p"))))
+    first = F.forall(F.zip_with("_r", "_q", lambda a, b: (a["run"] >= F.col("run")) | (a["value"] != b["value"])), lambda x: x)
+    return met.where((F.col("distance") <= most) & first).select("probe", item, "distance")
+
+
 def frontier(limit: int, asked: int | None = None) -> int:
     """Depth of the pool for a limit: four times it, between 64 and 256; an asked depth is held to the same bounds."""
     return min(max(limit * 4 if asked is None else asked, 64), 256)

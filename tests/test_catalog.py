@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import catalog, fields, measures, recall, signals  # noqa: F401
+from lodestone.plans import catalog, fields, lanes, measures, recall, signals  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SOME = ["s01_scan", "s06_upsert", "f19_default_filters", "f23_bit_fields", "j01_rank_fusion", "j07_lag_pairs", "a01_column_statistics", "a05_cooccurrence", "a17_current_state", "a29_mutual_information", "a30_divergence", "w04_modified_z", "t07_bm25", "q01_hybrid_recall", "g09_rules", "r25_field_last_writer", "a15_cascade", "a43_recall_scores", "a50_vocabulary", "a51_merkle", "d02_packed_clock", "d29_spectrum", "d37_keyed_digest", "g24_successors", "j08_conflict_pairs", "x35_fnv1a", "y05_attributes", "s25_inventory", "f28_paging", "f26_illegal_transitions", "d12_simhash", "d15_float_simhash", "x18_query_precision", "x07_spanner", "q02_float_lane", "q04_precise_recall", "q07_session_hybrid", "q08_walk_recall", "q13_vague_recall", "j05_span_fusion", "d18_cosine_top_k", "a06_temporal_matrix", "w07_categorical_trajectory", "w13_cohesion_roster", "g02_restart_walk", "g01_centrality", "r15_maintenance", "r02_drained_stream", "z14_recalled_together"]
+SOME = ["s01_scan", "s06_upsert", "f19_default_filters", "f23_bit_fields", "j01_rank_fusion", "j07_lag_pairs", "a01_column_statistics", "a05_cooccurrence", "a17_current_state", "a29_mutual_information", "a30_divergence", "w04_modified_z", "t07_bm25", "q01_hybrid_recall", "g09_rules", "r25_field_last_writer", "a15_cascade", "a43_recall_scores", "a50_vocabulary", "a51_merkle", "d02_packed_clock", "d29_spectrum", "d37_keyed_digest", "g24_successors", "j08_conflict_pairs", "x35_fnv1a", "y05_attributes", "s25_inventory", "f28_paging", "f26_illegal_transitions", "d12_simhash", "d15_float_simhash", "x18_query_precision", "x07_spanner", "q02_float_lane", "q04_precise_recall", "q07_session_hybrid", "q08_walk_recall", "q13_vague_recall", "j05_span_fusion", "d18_cosine_top_k", "a06_temporal_matrix", "w07_categorical_trajectory", "w13_cohesion_roster", "g02_restart_walk", "g01_centrality", "r15_maintenance", "r02_drained_stream", "z14_recalled_together", "a12_private_or", "d34_field_fit", "d35_cooccurrence_score", "d36_temporal_score", "z08_multi_index", "z11_multi_seed_concepts", "z19_graph_lane", "z24_container_pruning", "r22_daily_tournament"]
 
 
 @pytest.fixture(scope="module")
@@ -94,3 +94,47 @@ def test_null_rows_are_kept_by_delete(spark):
 
     df = spark.createDataFrame([(1, 5), (2, None), (3, 0)], "id int, x int")
     assert [r.id for r in deleted(df, F.col("x") > 1).orderBy("id").collect()] == [2, 3]
+
+
+def test_strengths_are_the_likeliest(spark):
+    import numpy as np
+
+    from lodestone.operators.preference import fit, strengths
+
+    wins = np.array([[0, 7, 4, 9], [3, 0, 6, 2], [1, 5, 0, 8], [2, 1, 3, 0]], float)
+    found, error = fit(wins)
+    likelihood = lambda s: (wins * -np.log1p(np.exp(s[None, :] - s[:, None]))).sum()
+    for i in range(4):
+        for step in (-1e-3, 1e-3):
+            moved = found.copy()
+            moved[i] += step
+            assert likelihood(moved) < likelihood(found)
+    assert abs(found.mean()) < 1e-9 and (error > 0).all()
+    rows = [(str(i), str(j), int(wins[i, j])) for i in range(4) for j in range(4) if wins[i, j]]
+    got = strengths(spark.createDataFrame(rows, "winner string, loser string, n long")).collect()
+    assert [r.item for r in got] == [str(i) for i in np.argsort(-found)] and all(r.low < r.strength < r.high for r in got)
+    for bad in ([("a", "a", 1)], [("a", "b", 1)], [("a", "b", 1), ("b", "a", 1), ("c", "a", 1)], []):
+        with pytest.raises(ValueError):
+            strengths(spark.createDataFrame(bad, "winner string, loser string, n long"))
+
+
+def test_rows_within_bits_are_all_found_once(spark):
+    import random
+
+    from lodestone.operators.search import within_bits
+
+    dealt = random.Random(3)
+    rows = [(i, dealt.getrandbits(12)) for i in range(300)] + [(300, 0), (301, 0), (302, None)]
+    df = spark.createDataFrame(rows, "id long, bits long")
+    got = within_bits(df, df.where("id % 3 = 0").withColumnRenamed("id", "probe"), "id", "bits", 12, 3)
+    expected = sorted((p, i, (a ^ b).bit_count()) for p, a in rows if p % 3 == 0 and a is not None for i, b in rows if b is not None and (a ^ b).bit_count() <= 3)
+    assert sorted(map(tuple, got.select("probe", "id", "distance").collect())) == expected
+
+
+def test_noise_and_private_or_of_no_rows(spark):
+    from lodestone.operators import bits
+
+    noise = bits.laplace(1, 20_000, 2.0)
+    assert abs(sum(noise) / 20_000) < 0.1 and abs(sum(map(abs, noise)) / 20_000 - 2.0) < 0.1
+    empty = bits.private_or(spark.createDataFrame([], "x long"), "x", 3, 1.0, 1, 7)
+    assert [tuple(r) for r in empty.orderBy("bit").collect()] == [(0, False), (1, False), (2, False)]
