@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: it takes the driver several times that.
 BROADCAST_ROWS = 200_000
 
+#: Spark's setting by which a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -53,11 +56,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder, read it back.
 
     Unlike a local checkpoint the files outlive any executor, and later steps
-    read only the columns they need.
+    read only the columns they need.  Nothing reads the write's own shuffle
+    files again, so they are deleted with its end and do not wait for the
+    driver's garbage collection.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
     return spark.read.parquet(path)
 
