@@ -147,7 +147,9 @@ def _kept_columns(table: DataFrame) -> DataFrame:
     """Blocks (block, node, n, rank): the rare shared columns of each row that
     pass its bounds; rank: the entries of the part that no other row has."""
     entries = table.where("n > 0 and doc_id is not null").select("node", "n", "need", F.size("part").alias("size"), F.explode("part").alias("block"))
-    shared = entries.groupBy("block").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high").select("block", "df")
+    # a table of its own: few blocks are shared, and the count's shuffle is gone before the join's begins
+    shared = entries.groupBy("block").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high")
+    shared = written(shared.select("block", "df"), "shared")
     held = entries.join(shared, "block").groupBy("node", "n", "need", "size").agg(F.array_sort(F.collect_set(F.struct("df", "block"))).alias("columns"))
     keep = F.size("columns") - F.col("need") + 1
     held = held.where(keep > 0).select("node", "n", (F.col("size") - F.size("columns")).alias("rank"), F.explode(F.slice("columns", F.lit(1), keep.cast("int"))).alias("c"))
