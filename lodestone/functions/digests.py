@@ -47,3 +47,41 @@ def subject_line(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Non-blank runs that end with their closing marks."""
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda x: x != "")
+
+
+def _times(high: Column, low: Column, factor: int) -> tuple[Column, Column]:
+    """The limbs of a 64-bit product that wraps; factors are cut in 16 bits, so no step overflows a long."""
+    ch, cl = factor >> 32, factor & _LOW
+    cut = lambda x: x.bitwiseAND(F.lit(0xFFFF))
+    short = lambda x, c: (cut(x) * c + F.shiftleft(cut(F.shiftright(x, 16) * c), 16)).bitwiseAND(F.lit(_LOW))  # noqa: E731  x c mod 2**32
+    upper = F.shiftright(low, 16) * cl
+    lower = cut(low) * cl + F.shiftleft(cut(upper), 16)
+    top = F.shiftright(upper, 16) + F.shiftright(lower, 32) + short(high, cl) + short(low, ch)
+    return top.bitwiseAND(F.lit(_LOW)), lower.bitwiseAND(F.lit(_LOW))
+
+
+def split_mix(seed: Column, index: Column) -> Column:
+    """The unsigned decimal of the index-th output (from 0) of a 64-bit counter generator; seed and index below 2**31.
+
+    A counter makes each output an expression of its own, so streams need no order.
+    """
+    # fixed values: the step and the multipliers of the generator
+    step, first, second = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+    zero = F.lit(0).cast("long")
+    high, low = _times(zero, (index + 1).cast("long"), step)
+    low = low + seed.cast("long")
+    names = F.struct(((high + F.shiftright(low, 32)).bitwiseAND(F.lit(_LOW))).alias("h"), low.bitwiseAND(F.lit(_LOW)).alias("l"))
+
+    def mixed(z: Column, by: int, factor: int | None) -> Column:
+        h = z["h"].bitwiseXOR(F.shiftright(z["h"], by))
+        l = z["l"].bitwiseXOR(F.shiftright(z["l"], by)).bitwiseXOR(F.shiftleft(z["h"], 32 - by).bitwiseAND(F.lit(_LOW)))
+        if factor:
+            h, l = _times(h, l, factor)
+        return F.struct(h.alias("h"), l.alias("l"))
+
+    # each stage is bound once by a fold over one element, else the expression would double with each use
+    def bind(z: Column, by: int, factor: int | None) -> Column:
+        return F.aggregate(F.array(F.lit(0)), z, lambda s, _: mixed(s, by, factor))
+
+    z = bind(bind(bind(names, 30, first), 27, second), 31, None)
+    return F.aggregate(F.array(F.lit(0)), z, lambda s, _: s, lambda s: F.conv(F.concat(F.lpad(F.hex(s["h"]), 8, "0"), F.lpad(F.hex(s["l"]), 8, "0")), 16, 10))

@@ -71,3 +71,14 @@ _CUES = "no longer|not anymore|instead of|used to|actually|changed|correction|wr
 
 def conflict_cue(c: Column) -> Column:
     return F.lower(c).rlike(f"(^|[^a-z])({_CUES})([^a-z]|$)")
+
+
+#: The form of a text's trailer; groups: what stands before it, and the trailer.
+TRAILER = r"(?s)\A(.*?)([ \t\n\x0B\f\r]+\(\*\[[ \t\n\x0B\f\r].*?[ \t\n\x0B\f\r]\]\*\))[ \t\n\x0B\f\r]*\z"
+
+
+def split_trailer(c: Column) -> tuple[Column, Column]:
+    """A text without its trailer and white space at its end, and the trailer, empty if there is none."""
+    has = c.rlike(TRAILER)
+    body = F.when(has, F.regexp_extract(c, TRAILER, 1)).otherwise(c)
+    return F.regexp_replace(body, r"[ \t\n\x0B\f\r]+\z", ""), F.when(has, F.regexp_replace(F.regexp_extract(c, TRAILER, 2), r"\A[ \t\n\x0B\f\r]+", "")).otherwise("")

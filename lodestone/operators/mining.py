@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.operators.storage import components, written
 
@@ -94,6 +95,12 @@ def pair_concepts(transactions: DataFrame, items_column: str = "items") -> DataF
     return every.select("a", "b", "extent", F.array_join(F.transform(F.filter("held", lambda h: h["n"] == F.col("extent")), lambda h: h["item"]), ";").alias("intent"))
 
 
+def attribute_concepts(pairs: DataFrame) -> DataFrame:
+    """(a, extent, intent as an array): the concept that each single attribute generates, from co-occurrence counts with the diagonal."""
+    own = pairs.where("a = b").select("a", F.col("n").alias("extent"))
+    return pairs.join(own, "a").where("n = extent").groupBy("a", "extent").agg(F.array_sort(F.collect_list("b")).alias("intent"))
+
+
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """src, dst in both directions, without loops or repeats."""
     e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
@@ -143,3 +150,34 @@ def weights_by_type(kind: Column, age: Column) -> Column:
     """exp(-rate age); rates: entity .1, relation .2, temporal .5, numerical .8."""
     rate = F.when(kind == "entity", 0.1).when(kind == "relation", 0.2).when(kind == "temporal", 0.5).when(kind == "numerical", 0.8).otherwise(0.0)
     return F.exp(-rate * age)
+
+
+def facet_rules(df: DataFrame, row: str, columns: Sequence[str], labels: int = 64, exemplars: int = 5) -> DataFrame:
+    """Pairwise rules over the first labels facets in order, each with the least ids of rows that hold both.
+
+    Exemplars come from the least rows of each distinct combination, so no
+    pairs are made of single rows.
+    """
+    pairs = cooccurrence(df, columns)
+    kept = pairs.select("a").distinct().orderBy("a").limit(labels)
+    pairs = pairs.join(F.broadcast(kept), "a", "left_semi").join(F.broadcast(kept.withColumnRenamed("a", "b")), "b", "left_semi")
+    first = Window.partitionBy(*columns).orderBy(row)
+    few = df.select(row, *columns).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= exemplars)
+    made = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in columns)))
+    held = few.select(row, made.alias("xs")).select(row, "xs", F.explode("xs").alias("antecedent")).select(row, "antecedent", F.explode("xs").alias("consequent")).where("antecedent <> consequent")
+    best = held.withColumn("_k", F.row_number().over(Window.partitionBy("antecedent", "consequent").orderBy(row))).where(F.col("_k") <= exemplars)
+    ids = best.groupBy("antecedent", "consequent").agg(F.array_join(F.array_sort(F.collect_list(row)), ",").alias("exemplars"))
+    return rules(pairs, df.count()).join(ids, ["antecedent", "consequent"])
+
+
+def covers(concepts: DataFrame, items_column: str = "items") -> DataFrame:
+    """(below, above, added) for intents (arrays) where below's items are among above's and no third intent lies between.
+
+    Subsets are found by counting shared items, not by comparing all pairs.
+    """
+    c = concepts.select(F.array_sort(F.array_distinct(items_column)).alias("xs")).distinct()
+    item = c.select("xs", F.explode("xs").alias("item"))
+    met = item.toDF("below", "item").join(item.toDF("above", "item"), "item").groupBy("below", "above").agg(F.count(F.lit(1)).alias("n"))
+    inside = met.where((F.col("n") == F.size("below")) & (F.size("below") < F.size("above"))).select("below", "above")
+    between = inside.toDF("below", "middle").join(inside.toDF("middle", "above"), "middle").select("below", "above")
+    return inside.join(between, ["below", "above"], "left_anti").withColumn("added", F.array_sort(F.array_except("above", "below")))

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import catalog, fields, lanes, measures, recall, signals  # noqa: F401
+from lodestone.plans import catalog, decisions, fields, lanes, measures, recall, signals  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SOME = ["s01_scan", "s06_upsert", "f19_default_filters", "f23_bit_fields", "j01_rank_fusion", "j07_lag_pairs", "a01_column_statistics", "a05_cooccurrence", "a17_current_state", "a29_mutual_information", "a30_divergence", "w04_modified_z", "t07_bm25", "q01_hybrid_recall", "g09_rules", "r25_field_last_writer", "a15_cascade", "a43_recall_scores", "a50_vocabulary", "a51_merkle", "d02_packed_clock", "d29_spectrum", "d37_keyed_digest", "g24_successors", "j08_conflict_pairs", "x35_fnv1a", "y05_attributes", "s25_inventory", "f28_paging", "f26_illegal_transitions", "d12_simhash", "d15_float_simhash", "x18_query_precision", "x07_spanner", "q02_float_lane", "q04_precise_recall", "q07_session_hybrid", "q08_walk_recall", "q13_vague_recall", "j05_span_fusion", "d18_cosine_top_k", "a06_temporal_matrix", "w07_categorical_trajectory", "w13_cohesion_roster", "g02_restart_walk", "g01_centrality", "r15_maintenance", "r02_drained_stream", "z14_recalled_together", "a12_private_or", "d34_field_fit", "d35_cooccurrence_score", "d36_temporal_score", "z08_multi_index", "z11_multi_seed_concepts", "z19_graph_lane", "z24_container_pruning", "r22_daily_tournament"]
+SOME = ["s01_scan", "s06_upsert", "f19_default_filters", "f23_bit_fields", "j01_rank_fusion", "j07_lag_pairs", "a01_column_statistics", "a05_cooccurrence", "a17_current_state", "a29_mutual_information", "a30_divergence", "w04_modified_z", "t07_bm25", "q01_hybrid_recall", "g09_rules", "r25_field_last_writer", "a15_cascade", "a43_recall_scores", "a50_vocabulary", "a51_merkle", "d02_packed_clock", "d29_spectrum", "d37_keyed_digest", "g24_successors", "j08_conflict_pairs", "x35_fnv1a", "y05_attributes", "s25_inventory", "f28_paging", "f26_illegal_transitions", "d12_simhash", "d15_float_simhash", "x18_query_precision", "x07_spanner", "q02_float_lane", "q04_precise_recall", "q07_session_hybrid", "q08_walk_recall", "q13_vague_recall", "j05_span_fusion", "d18_cosine_top_k", "a06_temporal_matrix", "w07_categorical_trajectory", "w13_cohesion_roster", "g02_restart_walk", "g01_centrality", "r15_maintenance", "r02_drained_stream", "z14_recalled_together", "a12_private_or", "d34_field_fit", "d35_cooccurrence_score", "d36_temporal_score", "z08_multi_index", "z11_multi_seed_concepts", "z19_graph_lane", "z24_container_pruning", "r22_daily_tournament", "r14_dreaming", "r04_settled_jobs", "r05_cursor", "x13_trailer", "g11_estate_rules", "g15_cover_deltas", "d31_split_mix"]
 
 
 @pytest.fixture(scope="module")
