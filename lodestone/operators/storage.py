@@ -52,6 +52,21 @@ def release() -> None:
             return
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the process's other tables."""
+    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that written() made and nothing will read again."""
+    for df in frames:
+        spark, path = df.sparkSession, df.stored_at
+        _remove(spark, path)
+        _written[:] = [x for x in _written if x[1] != path]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder, read it back.
 
@@ -61,15 +76,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     driver's garbage collection.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _written.append((spark, path))
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    return out
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
