@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, brown_lm, jaccard_join, kd_shards, line_rules, mixing, paragraphs, pii, topk_search, toxicity
+from lodestone.llm import bpe, brown_lm, jaccard_join, kd_shards, line_rules, mixing, paragraphs, periodic, pii, token_files, topk_search, toxicity, whitening
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+WORD_FILE, END_ID = "word_bpe_49k.json", 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +61,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.found(_documents(spark, sf_dir), periodic.rotated))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir), token_files.read_file(public_tokenizers.path(WORD_FILE)), END_ID)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_topk_search, op2_kd_shards, op3_byte_bpe, op4_paragraph_dedup, op5_line_rules, op6_brown_lm, op7_toxicity, op8_mixing, op9_jaccard_join, op10_pii]
+    every = [op1_topk_search, op2_kd_shards, op3_byte_bpe, op4_paragraph_dedup, op5_line_rules, op6_brown_lm, op7_toxicity, op8_mixing, op9_jaccard_join, op10_pii, op11_periodic_runs, op12_whitening, op13_token_files]
     return {f.__name__: f for f in every}
 
 

@@ -90,6 +90,14 @@ def runs(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, n
     return mix(x[first]), bounds
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes."""
+    power, inverse = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def words_of(texts: list[bytes], first_row: int = 0) -> Words:
     """texts: UTF-8; only A-Z are lower-cased."""
     joined = b" ".join([*texts, b""])
@@ -98,10 +106,7 @@ def words_of(texts: list[bytes], first_row: int = 0) -> Words:
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate((np.ones(1, np.int8), space.view(np.int8), np.ones(1, np.int8)))))
     starts, ends = edge[0::2], edge[1::2]
-    power, inverse = _tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = span_hashes(low, starts, ends)
     doc_bytes = np.concatenate(([0], np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))))
     return Words(raw, low, starts, ends, hashes, doc_bytes, np.searchsorted(starts, doc_bytes), first_row)
 
