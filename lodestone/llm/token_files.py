@@ -190,6 +190,8 @@ class WordCodec:
         return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.uint32), *x]) for x in out]
 
     def _encode(self, held: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
+        if not held:
+            return
         texts = [p for _, p in held]
         low, starts, ends, hashes = _pieces(texts)
         own, first, place = np.unique(hashes, return_index=True, return_inverse=True)

@@ -184,6 +184,8 @@ def test_pieces_have_the_ids_of_whole_texts(tokenizer, monkeypatch):
     monkeypatch.setattr(token_files, "CACHE", 50)
     monkeypatch.setattr(token_files, "PART_BYTES", 16)
     assert [x.tolist() for x in codec.encode(raw)] == expected
+    assert codec.encode([]) == []
+    assert [len(x) for x in codec.encode([b"", b"a b c d e f g h i j k l"])] == [0, 12]  # the last part fills a buffer
 
 
 def test_token_files(spark, tokenizer, tmp_path):
