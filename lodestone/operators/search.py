@@ -18,17 +18,25 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return words.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def impacts(hits: DataFrame, sizes: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def inverse_frequency(n_docs: Column, df: Column) -> Column:
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def impact(idf: Column, tf: Column, dl: Column, avgdl: Column, k1: float = 1.5, b: float = 0.75) -> Column:
+    """k1 and b are fixed values."""
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def impacts(hits: DataFrame, sizes: DataFrame) -> DataFrame:
     """doc_id and its integer score from postings (term, doc_id, tf, dl) and one row (n_docs, avgdl).
 
     Impacts are rounded half to even at two digits, so sums don't depend on
-    their order; k1 and b are fixed values.
+    their order.
     """
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     x = hits.join(F.broadcast(df), "term").join(F.broadcast(sizes))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    impact = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return x.groupBy("doc_id").agg(F.sum(F.bround(impact * 100).cast("long")).alias("score"))
+    own = impact(inverse_frequency(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return x.groupBy("doc_id").agg(F.sum(F.bround(own * 100).cast("long")).alias("score"))
 
 
 def top(df: DataFrame, score: str, k: int, tie: str, descending: bool = True) -> DataFrame:

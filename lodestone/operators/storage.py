@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ BROADCAST_ROWS = 200_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
+_stored: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +62,30 @@ def temporary(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[str], object]) -> str:
+    """A folder that build(path) made of the table at source, made the first time it is asked for.
+
+    It lies in the shared folder under name (which says what and in which
+    layout) and a hash of the source's files, their sizes and times, so a
+    changed source gets a new one.  A builder works in a folder of its own and
+    renames it; of two that work at once the first one's stays.
+    """
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    folder, conf = path_of(source), spark._jsc.hadoopConfiguration()
+    found = folder.getFileSystem(conf).listStatus(folder)
+    state = "|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+    path = f"{shared_dir(spark)}/lodestone-{name}-{hashlib.sha256(state.encode()).hexdigest()[:24]}"
+    if path not in _stored:
+        fs = path_of(path).getFileSystem(conf)
+        if not fs.exists(path_of(path)):
+            own = f"{shared_dir(spark)}/lodestone-building-{uuid.uuid4().hex}"
+            build(own)
+            if fs.exists(path_of(path)) or not fs.rename(path_of(own), path_of(path)):
+                fs.delete(path_of(own), True)
+        _stored.add(path)
+    return path
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove tables that written() made and nothing will read again."""
     for df in frames:
