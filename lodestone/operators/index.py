@@ -33,7 +33,7 @@ def build(docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -> None:
     """Index docs (doc_id, text).  Lengths and the range of ids come from one pass over the documents, postings from a second."""
     held = docs.where("text is not null").select("doc_id", "text")
     sizes = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    width = 1 << max(0, math.ceil(math.log2(block_docs * ((sizes.high or 0) - (sizes.low or 0) + 1) / max(1, sizes.n_docs))))
+    width = 1 << max(0, round(math.log2(block_docs * ((sizes.high or 0) - (sizes.low or 0) + 1) / max(1, sizes.n_docs))))
     row = docs.sparkSession.createDataFrame([(sizes.n_docs, sizes.avgdl or 0.0, width)], "n_docs long, avgdl double, width long")
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
     saturation = impact(F.lit(1.0), F.col("tf"), F.col("dl"), F.lit(float(sizes.avgdl or 1)))

@@ -36,7 +36,7 @@ _BLOCKS = "list int, n int, ids array<long>, data binary"
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of unit length; a vector of zeros stays."""
-    v = np.asarray(column.flatten().cast(pa.float32())).reshape(len(column), -1)
+    v = np.asarray(column.flatten().cast(pa.float32())).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.float32)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 
 
@@ -92,7 +92,7 @@ class VectorIndex:
     def lists(self) -> tuple[np.ndarray, int]:
         """Centroids (LISTS at most) and how many lists a search looks into."""
         rows = self.spark.read.parquet(f"{self.path}/centroids").orderBy("list").collect()
-        return np.array([r.centroid for r in rows], np.float32).reshape(len(rows), -1), rows[0].probes if rows else 1
+        return np.array([r.centroid for r in rows] or np.zeros((0, 1)), np.float32), rows[0].probes if rows else 1
 
     def _folders(self, kind: str) -> dict[int, str]:
         """Complete folders of a kind in the current generation by their number; kind generation: the generations."""
