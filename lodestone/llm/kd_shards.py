@@ -16,9 +16,10 @@ driver.  All levels read one written table of keys and sizes, without texts.
 
 Law: bytes (sizes near equal).
 
-Defined results: a null text has size 8; documents with equal id and text lie
-at one point and are dealt to one side of a cut together unless they outweigh
-the tolerance; null metadata lies at 0; an empty table gives an empty table;
+Defined results: a null text has size 8; documents of equal text but different
+id lie beside each other in no dimension's ties and may part, as the law is
+one of bytes; rows of equal id and text follow each other and are parted by a
+number of the row where a cut needs it; null metadata lies at 0; an empty table gives an empty table;
 only doc_id, text, lang, source and n_chars are read.
 """
 
@@ -35,6 +36,8 @@ BINS = 2048
 TOLERANCE = 0.00002
 #: Bits of the value and of the tie-breaking hash in a sort key.
 VALUE_BITS, TIE_BITS = 24, 38
+#: Low bits of the tie that part rows of equal id and text.
+ROW_BITS = 12
 KEY_END = 1 << (VALUE_BITS + TIE_BITS)
 #: Rows numbered in one task.
 NUMBERED = 100_000
@@ -53,11 +56,12 @@ def points(docs: DataFrame) -> DataFrame:
         (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.xxhash64(raw).alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"),
         _code("lang").alias("d0"),
         _code("source").alias("d1"),
         F.least(F.log2(F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)) + 1) / 40, F.lit(0.9999999)).alias("d2"),
     )
-    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash"), 64 - TIE_BITS)
+    tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash"), 64 - TIE_BITS + ROW_BITS), ROW_BITS) + F.shiftrightunsigned(F.xxhash64("row"), 64 - ROW_BITS)
     return sized.select(
         "doc_id", "size", "text_crc32", F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(7)), 1).alias("spread"),
         *(F.floor(F.col(d) * (1 << VALUE_BITS)).cast("long").bitwiseAND((1 << VALUE_BITS) - 1).alias(f"v{i}") for i, d in enumerate(("d0", "d1", "d2"))),

@@ -202,7 +202,7 @@ def _characters(w: Words) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, percent: int = PERCENT, window: int = WINDOW, span: int = SPAN) -> DataFrame:
-    """One row a paragraph: doc_id, word and character range, n (shingles of its set), node (hash of the set), sketch and bands; a task gives
+    """One row a paragraph: doc_id, uid (of its row), text_hash, word and character range, n (shingles of its set), node (hash of the set), sketch and bands; a task gives
     bands for the first of equal paragraphs only, and fillers have none."""
     n_bands = {TEXT: bands_for(percent / 100), WINDOWED: bands_for(least_alike(span, percent)), FILLER: 0}
 
@@ -241,17 +241,18 @@ def paragraphs(docs: DataFrame, percent: int = PERCENT, window: int = WINDOW, sp
                 kept = lambda x, n: lists(signed(x[np.arange(x.shape[1]) < n[:, None]]), np.concatenate(([0], np.cumsum(n))))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).take(pa.array(doc + w.first_row)),
+                        *(b.column(i).take(pa.array(doc + w.first_row)) for i in (0, 2, 3)),
                         *(pa.array(x.astype(np.int32)) for x in (word, word + words, chars[w.starts[place]] - base, chars[w.ends[place + words - 1]] - base, n)),
                         pa.array(signed(names)),
                         kept(odd, longs),
                         kept(keys, held),
                     ],
-                    ["doc_id", "word_start", "word_end", "char_start", "char_end", "n", "node", "sketch", "bands"],
+                    ["doc_id", "uid", "text_hash", "word_start", "word_end", "char_start", "char_end", "n", "node", "sketch", "bands"],
                 )
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, word_start int, word_end int, char_start int, char_end int, n int, node long, sketch array<long>, bands array<long>")
+    text = F.col("text").cast("string")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("uid"), F.xxhash64(text).alias("text_hash"))
+    return read.mapInArrow(run, "doc_id long, uid long, text_hash long, word_start int, word_end int, char_start int, char_end int, n int, node long, sketch array<long>, bands array<long>")
 
 
 def _items(docs: DataFrame, window: int, span: int) -> DataFrame:
@@ -280,17 +281,17 @@ def repeated(docs: DataFrame, percent: int = PERCENT, window: int = WINDOW, span
     blocks = bands.groupBy("block", "node", "n", "sketch").agg((-F.count(F.lit(1))).alias("rank"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Items are taken again from the documents that hold a node of a pair."""
+        """Items are taken again from the documents that hold a node of a pair, known by their texts, as ids may be null."""
         wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-        holders = units.select("node", "doc_id").join(if_small(wanted), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        holders = units.select("node", "text_hash").join(if_small(wanted), "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct()
         holders = written(holders, "holders")
-        sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(if_small(holders), "doc_id", "left_semi")
+        sources = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), "text").join(if_small(holders), "text_hash", "left_semi")
         sets = written(_items(sources, window, span).join(if_small(wanted), "node", "left_semi").dropDuplicates(["node"]), "items")
         return verified(pairs, sets, percent)
 
     found = written(linked_components(blocks, None, max(SKETCH.values()), percent, verify), "paragraph-components")
-    placed = units.drop("bands", "n", "sketch").join(if_small(found), "node", "left").withColumn("component_id", F.coalesce("component", "node")).drop("component", "node")
-    here = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("word_start").alias("word_start"))
+    placed = units.drop("bands", "n", "sketch", "text_hash").join(if_small(found), "node", "left").withColumn("component_id", F.coalesce("component", "node")).drop("component", "node")
+    here = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("word_start").alias("word_start"), F.col("uid").alias("uid"))
     # a table of its own, so that a hot component's rows can be split in the join
     groups = written(placed.groupBy("component_id").agg(F.count(F.lit(1)).alias("occurrences"), F.min(here).alias("first")).where("occurrences > 1"), "groups")
     return placed.join(groups, "component_id").select(

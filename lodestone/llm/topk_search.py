@@ -23,7 +23,8 @@ component take no part, neither as query nor as candidate; vectors of
 different dimension are no candidates for each other; a query with fewer than
 k candidates returns all of them; equal products go to the smaller vec_id;
 an empty vector has product 0 with every other empty one; rows that repeat an
-id are candidates of their own, but never of a query of that id; products
+id are candidates of their own, but never of a query of that id, and queries
+of their own, each with its k results; products
 beyond 64 bits are held at the nearest 64-bit value.
 """
 
@@ -49,7 +50,7 @@ BUCKET = 1024
 #: Local cosine from which coordinates prune better than lengths, and coordinates looked at.
 FOCUS_COSINE, FOCUS = 0.5, 3
 
-_OUT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+_OUT = T.StructType([T.StructField("uid", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -148,16 +149,17 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     seeds = stored.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
     asked = stored.where("is_query").select("vec_id", "v")
     blocks = asked.count() // BLOCK + 1
-    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
-    found = union([_block(dealt, seeds, asked.where(F.col("block") == b).select("vec_id", "v").toArrow(), k) for b in range(blocks)])
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    asked = written(asked.withColumn("uid", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
+    found = union([_block(dealt, seeds, asked.where(F.col("block") == b).select("vec_id", "v", "uid").toArrow(), k) for b in range(blocks)])
+    order = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _block(dealt: DataFrame, seeds: pa.Table, asked: pa.Table, k: int) -> DataFrame:
     """The best k of each task for one block of queries."""
     queries: dict[int, list[tuple[int, np.ndarray, float]]] = {}
-    ids = np.asarray(asked.column("vec_id"))
+    rows_of: dict[int, list[int]] = {}
+    ids, uids = np.asarray(asked.column("vec_id")), np.asarray(asked.column("uid"))
     first = {m.shape[1]: (np.asarray(seeds.column("vec_id"))[rows], m) for rows, m in _matrix(seeds.column("v").combine_chunks())} if len(seeds) else {}
     for rows, m in _matrix(asked.column("v").combine_chunks()) if len(asked) else []:
         d = m.shape[1]
@@ -168,19 +170,20 @@ def _block(dealt: DataFrame, seeds: pa.Table, asked: pa.Table, k: int) -> DataFr
                 if own.sum() >= k:
                     floor = float(np.partition(_products(first[d][1][own], q), -k)[-k])
             queries.setdefault(d, []).append((int(ids[r]), q, floor))
-    sent = dealt.sparkSession.sparkContext.broadcast(queries)
+            rows_of.setdefault(d, []).append(int(uids[r]))
+    sent = dealt.sparkSession.sparkContext.broadcast((queries, rows_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one result a query over the whole task, so thresholds only rise and k rows a query leave it
         held: dict[int, list[_Best]] = {}
         for b in batches:
             for rows, m in _matrix(b.column(1)) if b.num_rows else []:
-                asked_ = sent.value.get(m.shape[1], [])
+                asked_ = sent.value[0].get(m.shape[1], [])
                 _search(np.asarray(b.column(0))[rows], m, asked_, held.setdefault(m.shape[1], [_Best(k, floor) for _, _, floor in asked_]))
         for d, bests in held.items():
-            for (query_id, _, _), best in zip(sent.value.get(d, []), bests, strict=True):
+            for (query_id, _, _), uid, best in zip(sent.value[0].get(d, []), sent.value[1].get(d, []), bests, strict=True):
                 if n := len(best.ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, query_id)), pa.array(best.ids), pa.array(best.score)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, uid)), pa.array(np.full(n, query_id)), pa.array(best.ids), pa.array(best.score)], ["uid", "query_id", "vec_id", "score"])
 
     return dealt.mapInArrow(run, _OUT)
 

@@ -344,3 +344,28 @@ def test_mixing_by_source_weights(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = mixing.mix(docs, epochs=1, share=(1, 2), domains={}, langs={}, sources={"s0": 3, "s4": 1}).groupBy("source").sum("n_tokens").collect()
     assert {r[0]: r[1] for r in got} == {"s0": 1500, "s4": 500}
+
+
+def test_paragraphs_of_repeated_rows_and_rows_without_id(spark):
+    text = words(60, "row").split()
+    near = [*text[:30], "changed", *text[31:]]
+    schema = "doc_id long, text string"
+    null = paragraphs.repeated(spark.createDataFrame([(None, " ".join(text)), (None, " ".join(near))], schema)).collect()
+    one = paragraphs.repeated(spark.createDataFrame([(1, " ".join(text)), (2, " ".join(near))], schema)).collect()
+    key = lambda rows: sorted((r.word_start, r.word_end, r.occurrences, r.removed) for r in rows)
+    assert null and key(null) == key(one) and any(r.removed for r in null)
+    same = paragraphs.repeated(spark.createDataFrame([(5, " ".join(text)), (5, " ".join(text))], schema)).collect()
+    assert sum(r.removed for r in same) * 2 == len(same) > 0
+
+
+def test_shards_part_repeated_rows(spark):
+    got = kd_shards.shards(spark.createDataFrame([(1, "same text", "en", "s", 9)] * 40, "doc_id long, text string, lang string, source string, n_chars long"), n_shards=4).collect()
+    assert sorted(Counter(r.shard for r in got).values()) in ([10] * 4, [9, 10, 10, 11], [9, 9, 11, 11])
+
+
+def test_top_k_of_repeated_queries(spark):
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5])] + [(i, [1.0 / i, 0.1]) for i in range(1, 8)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    once = topk_search.top_k(spark.createDataFrame(rows[1:], "vec_id long, embedding array<double>"), k=3).collect()
+    key = lambda found: Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in found)
+    assert len(once) == 3 and key(got) == Counter({k: 2 for k in key(once)})
