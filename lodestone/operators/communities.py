@@ -12,36 +12,33 @@ from lodestone.operators.storage import discard, written
 #: Least similarity of an edge between sentences, least characters of a word.
 LEAST_COSINE, LEAST_CHARS = 0.1, 2
 #: Sweeps of the power iteration, and after how many a table is written.
-POWER, CUT = 24, 6
+POWER, CUT = 24, 4
 
 
 def propagated(edges: DataFrame, sweeps: int = 20) -> DataFrame:
     """node, community of weighted edges (a, b, weight), taken as undirected: label propagation with deterministic ties.
 
     A node takes the label of the greatest weight around it; its own label
-    keeps a tie, else the least one wins.  Nodes move in two halves by a digest
-    of their id, so a pair cannot swap for ever; the sweeps end when no node
-    moves.  A node's neighbours meet in a partial sum by label, never in a list.
+    keeps a tie, else the least one wins.  A digest of the sweep and the node
+    says who may move, so a pair cannot swap for ever; the sweeps end when no
+    node wants to move.  A node's neighbours meet in a partial sum by label, never in a list.
     """
     both = edges.where("a <> b and weight > 0")
     both = written(both.select("a", "b", "weight").union(both.select(F.col("b"), F.col("a"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "graph")
     labels = written(both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct(), "labels")
-    before = False  # whether the other half stood still
     for sweep in range(2 * sweeps):
         near = both.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         own = near.join(labels.select("node", F.col("community").alias("now")), "node")
         best = own.groupBy("node").agg(F.max("now").alias("now"), F.max("w").alias("most"), F.max(F.when(F.col("community") == F.col("now"), F.col("w"))).alias("held"))
         first = own.join(best.select("node", "most"), "node").where("w = most").groupBy("node").agg(F.min("community").alias("first"))
-        turn = F.pmod(F.crc32(F.col("node").cast("string").cast("binary")), F.lit(2)) == sweep % 2
-        moved = turn & (F.coalesce("held", F.lit(-1.0)) < F.col("most"))
-        chosen = best.join(first, "node").select("node", F.when(moved, F.col("first")).otherwise(F.col("now")).alias("community"), moved.alias("moved"))
+        turn = F.pmod(F.xxhash64(F.lit(sweep), F.col("node").cast("string")), F.lit(2)) == 0
+        wants = F.coalesce("held", F.lit(-1.0)) < F.col("most")
+        chosen = best.join(first, "node").select("node", F.when(wants & turn, F.col("first")).otherwise(F.col("now")).alias("community"), wants.alias("wants"))
         new = written(chosen, "labels")
-        quiet = new.where("moved").isEmpty()
         discard(labels)
         labels = new
-        if quiet and before:
+        if labels.where("wants").isEmpty():
             break
-        before = quiet
     # a community is known by its least node
     names = labels.groupBy("community").agg(F.min("node").alias("least"))
     return labels.join(names, "community").select("node", F.col("least").alias("community"))
@@ -101,13 +98,14 @@ def lexrank(docs: DataFrame, n: int = 10, sweeps: int = POWER) -> DataFrame:
     """
     parts = written(sentences(docs.select("doc_id", "text")), "sentences")
     graph = sentence_graph(parts)
-    both = written(graph.select("doc_id", "a", "b", "cosine").union(graph.select("doc_id", F.col("b"), F.col("a"), "cosine")), "sentence-graph")
+    loops = parts.select("doc_id", F.col("place").alias("a"), F.col("place").alias("b"), F.lit(1.0).alias("cosine"))
+    both = written(graph.select("doc_id", "a", "b", "cosine").union(graph.select("doc_id", F.col("b"), F.col("a"), "cosine")).union(loops), "sentence-graph")
     state = parts.select("doc_id", "place", F.lit(1.0).alias("score"))
-    for sweep in range(sweeps):
-        given = both.join(state.select("doc_id", F.col("place").alias("a"), "score"), ["doc_id", "a"]).select("doc_id", F.col("b").alias("place"), (F.col("score") * F.col("cosine")).alias("score"))
-        summed = given.unionByName(state.select("doc_id", "place", "score")).groupBy("doc_id", "place").agg(F.sum("score").alias("score"))
-        norm = summed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
-        state = summed.join(norm, "doc_id").select("doc_id", "place", (F.col("score") / F.col("norm")).alias("score"))
+    norm = F.sqrt(F.sum(F.col("score") * F.col("score")).over(Window.partitionBy("doc_id")))
+    for sweep in range(sweeps):  # each round reads the last one once, so plans stay short
+        given = both.join(state.select("doc_id", F.col("place").alias("a"), "score"), ["doc_id", "a"])
+        summed = given.groupBy("doc_id", F.col("b").alias("place")).agg(F.sum(F.col("score") * F.col("cosine")).alias("score"))
+        state = summed.select("doc_id", "place", (F.col("score") / norm).alias("score"))
         if sweep % CUT == CUT - 1:
             state = written(state, "scores")
     order = Window.partitionBy("doc_id").orderBy(F.round("score", 6).desc(), "place")
