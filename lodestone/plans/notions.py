@@ -1,4 +1,4 @@
-"""Derivations, concepts and implications of formal contexts, with their SQL."""
+"""Derivations, concepts and implications of formal contexts, content fingerprints and their lane, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import concepts as fca
+from lodestone.operators import fingerprints
+from lodestone.operators.storage import written
 from lodestone.plans.registry import Tables, query
 
 _CLASSES = "cls AS (SELECT list_sort(['flag=' || l_returnflag, 'status=' || l_linestatus, 'line=' || l_linenumber, 'tax=' || CAST(round(l_tax * 100) AS INTEGER)]) AS xs, count(*) AS n FROM lineitem GROUP BY 1), u AS (SELECT DISTINCT unnest(xs) AS x FROM cls)"
@@ -54,3 +56,21 @@ def g14_concepts(t: Tables) -> DataFrame:
 def g16_implications(t: Tables) -> DataFrame:
     """The canonical basis of premises of two attributes at most."""
     return fca.implications(_lines(t), 2).select(_joined("premise"), _joined("conclusion"), "support")
+
+
+_HASHES = "s AS (SELECT DISTINCT doc_id, CASE WHEN length(low) < 3 THEN low ELSE substr(low, CAST(i AS BIGINT), 3) END AS shingle FROM (SELECT doc_id, low, unnest(range(1, greatest(length(low) - 1, 2))) AS i FROM (SELECT doc_id, lower(text) AS low FROM documents)) WHERE low <> ''), h AS (SELECT shingle, k, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, 3 + octet_length(encode(shingle))), lambda i: ('0x' || substr(hex(encode('c' || k || ':' || shingle)), CAST(2 * i + 1 AS BIGINT), 2))::UHUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS hash FROM (SELECT DISTINCT shingle FROM s), (SELECT unnest(range(0, 4)) AS k)), w AS (SELECT shingle, k, CAST(hash % 4294967296::UHUGEINT AS BIGINT) AS low, CAST(hash // 4294967296::UHUGEINT AS BIGINT) AS high FROM h)"
+_VOTES = ", ".join(f"CAST(sum(({half} >> {i}) & 1) * 2 > count(*) AS HUGEINT) * {1 << i}::HUGEINT AS {half}{i}" for half in ("low", "high") for i in range(32))
+_PRINTS = f"{_HASHES}, v AS (SELECT doc_id, k, {_VOTES} FROM s JOIN w USING (shingle) GROUP BY 1, 2), n AS (SELECT doc_id, k, ({' + '.join(f'low{i}' for i in range(32))}) + ({' + '.join(f'high{i}' for i in range(32))}) * 4294967296::HUGEINT AS z FROM v), f AS (SELECT d.doc_id, " + ", ".join(f"CAST(coalesce(max(CASE WHEN z >= 9223372036854775808::HUGEINT THEN z - 18446744073709551616::HUGEINT ELSE z END) FILTER (k = {j}), 0) AS BIGINT) AS b{j}" for j in range(4)) + " FROM documents d LEFT JOIN n USING (doc_id) GROUP BY 1)"
+
+
+@query(f"WITH {_PRINTS} SELECT doc_id, b0, b1, b2, b3 FROM f")
+def d16_content_fingerprints(t: Tables) -> DataFrame:
+    """The 256-bit content fingerprint of every whole text."""
+    return fingerprints.content_fingerprints(t("documents"), "doc_id", "text")
+
+
+@query(f"WITH {_PRINTS} SELECT p.doc_id AS probe, f.doc_id, CAST(bit_count(xor(f.b0, p.b0)) AS INTEGER) + bit_count(xor(f.b1, p.b1)) + bit_count(xor(f.b2, p.b2)) + bit_count(xor(f.b3, p.b3)) AS distance FROM f, f p WHERE p.doc_id % 100 = 0 AND f.doc_id <> p.doc_id AND (p.b0 <> 0 OR p.b1 <> 0 OR p.b2 <> 0 OR p.b3 <> 0) AND (f.b0 <> 0 OR f.b1 <> 0 OR f.b2 <> 0 OR f.b3 <> 0) AND CAST(bit_count(xor(f.b0, p.b0)) AS INTEGER) + bit_count(xor(f.b1, p.b1)) + bit_count(xor(f.b2, p.b2)) + bit_count(xor(f.b3, p.b3)) <= 31")
+def q39_fingerprint_lane(t: Tables) -> DataFrame:
+    """Documents whose content fingerprint is within 31 bits of an asking one's."""
+    f = written(d16_content_fingerprints(t), "content-prints")
+    return fingerprints.near(f, f.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "probe"), "doc_id").where("probe <> doc_id")
