@@ -1,4 +1,4 @@
-"""Derivations, concepts and implications of formal contexts, content fingerprints and their lane, with their SQL."""
+"""Derivations, concepts and implications of formal contexts, content fingerprints and their lane, the causality stream, with their SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from lodestone.operators import concepts as fca
 from lodestone.operators import fingerprints
 from lodestone.operators.storage import written
 from lodestone.plans.registry import Tables, query
+from lodestone.streaming import causality, twins
 
 _CLASSES = "cls AS (SELECT list_sort(['flag=' || l_returnflag, 'status=' || l_linestatus, 'line=' || l_linenumber, 'tax=' || CAST(round(l_tax * 100) AS INTEGER)]) AS xs, count(*) AS n FROM lineitem GROUP BY 1), u AS (SELECT DISTINCT unnest(xs) AS x FROM cls)"
 _ASKED = "q AS (SELECT []::VARCHAR[] AS s UNION SELECT [x] FROM u UNION SELECT [a.x, b.x] FROM u a JOIN u b ON a.x < b.x)"
@@ -74,3 +75,13 @@ def q39_fingerprint_lane(t: Tables) -> DataFrame:
     """Documents whose content fingerprint is within 31 bits of an asking one's."""
     f = written(d16_content_fingerprints(t), "content-prints")
     return fingerprints.near(f, f.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "probe"), "doc_id").where("probe <> doc_id")
+
+
+_FOLDED = "x AS (SELECT user_id, event_type AS v, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL AND event_type IS NOT NULL), w AS (SELECT max(s) // 1000 - 7200000 AS passed FROM x)"
+
+
+@query(f"WITH {_FOLDED} SELECT a.v AS source, b.v AS target, least(128, CAST(pow(2, ceil(log2(greatest((b.s - a.s) / 60000000, 1.0)))) AS INTEGER)) AS lag, count(*) AS n FROM x a JOIN x b ON a.user_id = b.user_id AND b.r - a.r BETWEEN 1 AND 512 AND b.s > a.s AND b.s - a.s < 15360000000, w WHERE (b.s // 92160000000 + 1) * 92160000 <= passed GROUP BY ALL")
+def r21_causality_stream(t: Tables) -> DataFrame:
+    """The events' file as a stream, folded up to the buckets that the watermark has passed."""
+    pairs = twins.drained_file(t("events"), lambda s: causality.causality(s, "user_id", "ts", "event_id", "event_type"), "append")
+    return pairs.groupBy("source", "target", "lag").agg(F.sum("n").alias("n"))

@@ -41,13 +41,13 @@ def drained(stream: DataFrame, transform, mode: str = "complete", where: str | N
     return out.join(F.broadcast(last), "batch", "left_semi").drop("batch")
 
 
-def drained_file(df: DataFrame, transform) -> DataFrame:
+def drained_file(df: DataFrame, transform, mode: str = "complete") -> DataFrame:
     """A stored table read as a stream and drained."""
     files = df.inputFiles()
     spark = df.sparkSession
     root = files[0].rsplit("/", 1)[0]
     names = "{" + ",".join(f.rsplit("/", 1)[1] for f in files) + "}" if len(files) > 1 else files[0].rsplit("/", 1)[1]
-    return drained(spark.readStream.schema(df.schema).option("pathGlobFilter", names).parquet(root), transform)
+    return drained(spark.readStream.schema(df.schema).option("pathGlobFilter", names).parquet(root), transform, mode)
 
 
 def change_feed(spark: SparkSession, path: str, schema) -> DataFrame:
