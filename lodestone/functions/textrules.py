@@ -60,6 +60,16 @@ def chunked(docs: DataFrame, target: int, overlap: int) -> DataFrame:
     return folded.select("doc_id", F.posexplode("chunks").alias("chunk", "text")).where("text <> ''")
 
 
+def valid_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it; null for null.
+
+    The parser stops at the end of the first value.  What may follow a value in
+    an array and in an object differs, so only a lone value passes as both.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}"))).isNotNull()
+    return F.when(c.isNotNull(), alone)
+
+
 def canonical_json(fields: dict[str, Column]) -> Column:
     """An object with its keys in order and no spaces."""
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lodestone import schema
 from lodestone.functions import digests as dg
 from lodestone.functions import scalars as sc
+from lodestone.functions import textrules as tr
 from lodestone.operators import scoring, statistics
 from lodestone.plans.registry import Tables, query, r6
 
@@ -19,12 +20,12 @@ R = "WITH " + schema.RECORDS_SQL
 
 @query("SELECT event_id, event_type FROM events WHERE json_valid(props)")
 def s03_clean_rows(t: Tables) -> DataFrame:
-    return t("events").where(F.try_parse_json("props").isNotNull()).select("event_id", "event_type")
+    return t("events").where(tr.valid_json(F.col("props"))).select("event_id", "event_type")
 
 
 @query("SELECT count(*) FILTER (json_valid(text)) AS clean, count(*) FILTER (NOT coalesce(json_valid(text), false)) AS skipped FROM documents")
 def s03_skipped_count(t: Tables) -> DataFrame:
-    ok = F.try_parse_json("text").isNotNull()
+    ok = F.coalesce(tr.valid_json(F.col("text")), F.lit(False))
     return t("documents").agg(F.count_if(ok).alias("clean"), F.count_if(~ok).alias("skipped"))
 
 
@@ -219,7 +220,7 @@ def x05_sentences(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, json_valid(props) AS complete FROM events")
 def x15_complete_json(t: Tables) -> DataFrame:
-    return t("events").select("event_id", F.try_parse_json("props").isNotNull().alias("complete"))
+    return t("events").select("event_id", tr.valid_json(F.col("props")).alias("complete"))
 
 
 @query("SELECT doc_id, length(trim(text)) BETWEEN 1 AND 120 AND NOT contains(text, chr(10)) AS valid FROM documents")
