@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import trimmed
+
 _LOW = (1 << 32) - 1
 
 
@@ -46,7 +48,7 @@ def subject_line(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Non-blank runs that end with their closing marks."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda x: trimmed(x)), lambda x: x != "")
 
 
 def _times(high: Column, low: Column, factor: int) -> tuple[Column, Column]:

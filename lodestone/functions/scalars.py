@@ -14,6 +14,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "ς", "σ"), NOT_WORD), lambda x: x != "")
 
 
+def trimmed(c: Column) -> Column:
+    """Without the space separators at both ends; tabs and line ends stay."""
+    return F.regexp_replace(c, r"\A\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", "")
+
+
 def shingles(c: Column, k: int = 3) -> Column:
     """Distinct k-character windows of the lower-case text; shorter texts have one."""
     s = F.lower(c)

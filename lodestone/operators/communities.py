@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.scalars import tokens
+from lodestone.functions.scalars import tokens, trimmed
 from lodestone.operators.storage import discard, written
 
 #: Least similarity of an edge between sentences, least characters of a word.
@@ -67,7 +67,7 @@ def dominant(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, place, sentence: a text's parts that end in . ! or ? before white space, or at a line's end; whole texts, trimmed, none empty."""
-    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])[ \t\n\f\r]+|\n+"), lambda s: trimmed(s)), lambda s: s != "")
     return docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("place", "sentence"))
 
 

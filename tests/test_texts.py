@@ -12,8 +12,8 @@ def _same(spark, folder, name, table, rows):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
     ours = QUERIES[name](spark, str(folder))
-    theirs = con.sql(ORACLES[name]).df()[ours.columns]
-    assert sorted(map(tuple, ours.collect()), key=str) == sorted(map(tuple, theirs.itertuples(index=False)), key=str)
+    theirs = con.sql(f"SELECT {', '.join(ours.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, ours.collect()), key=str) == sorted(theirs, key=str)
     return ours
 
 
@@ -21,3 +21,10 @@ def test_a_value_with_something_after_it_is_no_json(spark, tmp_path):
     texts = ["8294846167456848 Inly onhe.", "1 2", "1,2", '1,"b":2', '1,"b"', "1] 2", "1} 2", "[1]]", '{"a":1} {}', "", " 1 ", '{"a":[1,null]}', '"x"', "nul", None]
     out = _same(spark, tmp_path, "s03_skipped_count", "documents", ([*enumerate(texts)], "doc_id long, text string"))
     assert tuple(out.first()) == (3, 12)
+
+
+def test_sentences_are_trimmed_of_spaces_and_nothing_else(spark, tmp_path):
+    texts = ["0", "One. 1", "One.1", "One. ", "One.\u00a0", "One.\t", "\u3000 A \u2003. b", "a\nb", "...", "", None]
+    out = _same(spark, tmp_path, "x05_sentences", "documents", ([*enumerate(texts)], "doc_id long, text string"))
+    assert [r.n for r in out.orderBy("doc_id").collect()] == [1, 2, 2, 1, 1, 2, 2, 1, 0, 0, None]
+    _same(spark, tmp_path, "x17_summary_sizes", "documents", ([*enumerate([*texts, "One.\x0bTwo", "A one.\u00a0\nA two. A one more. And one."])], "doc_id long, text string"))
