@@ -24,9 +24,11 @@ def smoothed_idf(counts: DataFrame, n_docs: int) -> DataFrame:
 
 
 def unit(v: Column) -> Column:
-    """A vector of length 1; of zeros, an empty one."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(n > 1e-12, F.transform(v, lambda x: x / n)).otherwise(F.array().cast("array<double>"))
+    """A vector of length 1, however short it was; of zeros, an empty one."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    scaled = F.when(most > 0, F.transform(v, lambda x: x / most)).otherwise(F.array().cast("array<double>"))  # squares of small numbers would vanish
+    long_ = lambda s: F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(F.array(scaled), lambda s: F.transform(s, lambda x: x / long_(s)))[0]
 
 
 # --- latent semantic analysis ---------------------------------------------------------------------------------------------

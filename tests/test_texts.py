@@ -28,3 +28,10 @@ def test_sentences_are_trimmed_of_spaces_and_nothing_else(spark, tmp_path):
     out = _same(spark, tmp_path, "x05_sentences", "documents", ([*enumerate(texts)], "doc_id long, text string"))
     assert [r.n for r in out.orderBy("doc_id").collect()] == [1, 2, 2, 1, 1, 2, 2, 1, 0, 0, None]
     _same(spark, tmp_path, "x17_summary_sizes", "documents", ([*enumerate([*texts, "One.\x0bTwo", "A one.\u00a0\nA two. A one more. And one."])], "doc_id long, text string"))
+
+
+
+def test_a_text_apart_from_all_others_has_a_place_in_the_latent_space(spark, tmp_path):
+    texts = [" ".join(f"w{(i * j) % 40}" for j in range(1, 60)) for i in range(1, 40)] + ["lonely", "", None]
+    out = _same(spark, tmp_path, "z03_embedded", "documents", ([*enumerate(texts)], "doc_id long, text string"))
+    assert out.first().empty == 1
