@@ -14,6 +14,15 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "ς", "σ"), NOT_WORD), lambda x: x != "")
 
 
+def counted(words: Column) -> Column:
+    """array<struct<term, tf>>: each distinct word of an array and how often it stands there; sorted, so the cost doesn't grow with its square."""
+    # arrays of one element name what a lambda uses often, so it is computed once
+    named = lambda c, f: F.transform(F.array(c), f)[0]
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+    run = lambda s, at: F.transform(at, lambda b, k: F.struct(F.get(s, b).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - b).cast("long").alias("tf")))
+    return named(F.array_sort(words), lambda s: named(begins(s), lambda at: run(s, at)))
+
+
 def trimmed(c: Column) -> Column:
     """Without the space separators at both ends; tabs and line ends stay."""
     return F.regexp_replace(c, r"\A\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", "")

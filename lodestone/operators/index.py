@@ -17,14 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.scalars import tokens
-from lodestone.operators.search import impact, impacts, inverse_frequency, postings
+from lodestone.functions.scalars import counted, tokens
+from lodestone.operators.search import impact, impacts, inverse_frequency
 from lodestone.operators.storage import if_small, stored, union, written
 
 #: Part of an index's name: changes with the layout or the tokens.
 VERSION = 3
 #: Documents of a block, about.
 BLOCK_DOCS = 128
+#: Text of a partition while an index is built, about: its words are counted in memory.
+PART_BYTES = 16 << 20
 #: Blocks of a question scored in the first and by the end of the second round.
 ROUNDS = (4, 64)
 
@@ -32,12 +34,17 @@ ROUNDS = (4, 64)
 def build(docs: DataFrame, path: str, block_docs: int = BLOCK_DOCS) -> None:
     """Index docs (doc_id, text).  Lengths and the range of ids come from one pass over the documents, postings from a second."""
     held = docs.where("text is not null").select("doc_id", "text")
-    sizes = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    sizes = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.octet_length("text")).alias("bytes")).first()
     width = 1 << max(0, round(math.log2(block_docs * ((sizes.high or 0) - (sizes.low or 0) + 1) / max(1, sizes.n_docs))))
     row = docs.sparkSession.createDataFrame([(sizes.n_docs, sizes.avgdl or 0.0, width)], "n_docs long, avgdl double, width long")
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
     saturation = impact(F.lit(1.0), F.col("tf"), F.col("dl"), F.lit(float(sizes.avgdl or 1)))
-    entries = postings(held).withColumn("block", F.floor(F.col("doc_id") / width))
+    # texts go to their block's partition once; words and postings are counted and gathered there
+    dealt = held.withColumn("block", F.floor(F.col("doc_id") / width)).repartition(1 + (sizes.bytes or 0) // PART_BYTES, "block")
+    words = dealt.select("block", "doc_id", tokens(F.col("text")).alias("ws"))
+    entries = words.select("block", "doc_id", F.size("ws").alias("dl"), F.inline(counted(F.col("ws"))))
+    if not held.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows of one id are one document where they are equally long
+        entries = entries.groupBy("block", "term", "doc_id", "dl").agg(F.sum("tf").alias("tf"))
     blocks = entries.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(saturation).alias("peak"), F.collect_list(F.struct("doc_id", "tf", "dl")).alias("docs"))
     blocks.sortWithinPartitions("term", "block").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
 

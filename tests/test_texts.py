@@ -1,7 +1,9 @@
 """Rules on texts that small tables do not reach."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from lodestone.operators import index
 from lodestone.plans import graphs, measures, themes  # noqa: F401
 from lodestone.plans.catalog import ORACLES, QUERIES
 
@@ -35,3 +37,12 @@ def test_a_text_apart_from_all_others_has_a_place_in_the_latent_space(spark, tmp
     texts = [" ".join(f"w{(i * j) % 40}" for j in range(1, 60)) for i in range(1, 40)] + ["lonely", "", None]
     out = _same(spark, tmp_path, "z03_embedded", "documents", ([*enumerate(texts)], "doc_id long, text string"))
     assert out.first().empty == 1
+
+
+def test_an_index_gathers_a_block_where_its_texts_went(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('a b a c', id % 7, ' d', id, ' a') as text").repartition(5)
+    index.build(docs.union(docs.where("doc_id = 5")), str(tmp_path))
+    rows = spark.read.parquet(f"{tmp_path}/postings").withColumn("file", F.input_file_name())
+    assert rows.groupBy("block").agg(F.count_distinct("file").alias("files")).where("files > 1").isEmpty()
+    got = {(r.term, r.doc_id): r.tf for r in rows.select("term", F.inline("docs")).collect()}
+    assert len(got) == 4 * 3000 and (got["a", 4], got["b", 4], got["d4", 4], got["a", 5]) == (3, 1, 1, 6)
