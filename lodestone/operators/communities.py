@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +17,8 @@ from lodestone.operators.storage import discard, written
 LEAST_COSINE, LEAST_CHARS = 0.1, 2
 #: Sweeps of the power iteration, and after how many a table is written.
 POWER, CUT = 24, 4
+#: Sentences up to which a text's graph is ranked in its row (134 MB), and terms counted at once there.
+ROW_SENTENCES, _TERMS = 4_096, 512
 
 
 def propagated(edges: DataFrame, sweeps: int = 20) -> DataFrame:
@@ -65,10 +71,13 @@ def dominant(edges: DataFrame, labels: DataFrame) -> DataFrame:
 # --- LexRank --------------------------------------------------------------------------------------------------------------
 
 
+def _parts() -> Column:
+    return F.filter(F.transform(F.split("text", r"(?<=[.!?])[ \t\n\f\r]+|\n+"), lambda s: trimmed(s)), lambda s: s != "")
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, place, sentence: a text's parts that end in . ! or ? before white space, or at a line's end; whole texts, trimmed, none empty."""
-    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])[ \t\n\f\r]+|\n+"), lambda s: trimmed(s)), lambda s: s != "")
-    return docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("place", "sentence"))
+    return docs.where("text is not null").select("doc_id", F.posexplode(_parts()).alias("place", "sentence"))
 
 
 def sentence_graph(parts: DataFrame) -> DataFrame:
@@ -87,16 +96,8 @@ def sentence_graph(parts: DataFrame) -> DataFrame:
     return sided.withColumn("cosine", cosine).where(F.col("cosine") >= LEAST_COSINE).select("doc_id", "a", "b", "cosine")
 
 
-def lexrank(docs: DataFrame, n: int = 10, sweeps: int = POWER) -> DataFrame:
-    """doc_id, place, sentence, score of the n most central sentences of each document, in their order; all of a document of n or fewer.
-
-    Eigenvector centrality of the sentence graphs of all documents in joint
-    rounds: one join and one sum a round, whatever the number of documents.
-    A sentence keeps its own score beside what its neighbours give, which
-    leaves the eigenvector as it is and stops graphs of two sides from
-    swinging.  A document without an edge has equal scores.
-    """
-    parts = written(sentences(docs.select("doc_id", "text")), "sentences")
+def _ranked_in_rounds(parts: DataFrame, n: int, sweeps: int) -> DataFrame:
+    """lexrank of parts (doc_id, place, sentence) by one join and one sum a round for all texts, however long they are."""
     graph = sentence_graph(parts)
     loops = parts.select("doc_id", F.col("place").alias("a"), F.col("place").alias("b"), F.lit(1.0).alias("cosine"))
     both = written(graph.select("doc_id", "a", "b", "cosine").union(graph.select("doc_id", F.col("b"), F.col("a"), "cosine")).union(loops), "sentence-graph")
@@ -111,3 +112,62 @@ def lexrank(docs: DataFrame, n: int = 10, sweeps: int = POWER) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(F.round("score", 6).desc(), "place")
     top = state.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return parts.join(top.select("doc_id", "place", "score"), ["doc_id", "place"]).select("doc_id", "place", "sentence", "score")
+
+
+def _central(words: list[list[str]], n: int, sweeps: int) -> list[tuple[int, float]]:
+    """(place, score) of the n most central sentences of one text, given as words, in their order."""
+    size = np.array([len(w) for w in words])
+    at = np.repeat(np.arange(len(words)), size)
+    names, term = np.unique(np.array([x for w in words for x in w], dtype=object), return_inverse=True) if len(at) else (np.zeros(0), at)
+    near = np.zeros((len(words), len(words)))
+    order = np.argsort(term, kind="stable")
+    at, term = at[order], term[order]
+    for low in range(0, len(names), _TERMS):  # dense counts of some terms at once
+        some = slice(*np.searchsorted(term, (low, low + _TERMS)))
+        counts = np.zeros((len(words), min(_TERMS, len(names) - low)))
+        np.add.at(counts, (at[some], term[some] - low), 1.0)
+        near += counts @ counts.T
+    length = np.sqrt(near.diagonal())
+    for i in range(len(words)):  # a row at a time, so nothing else of this size is held
+        if length[i]:
+            near[i] = np.round(near[i] / length[i] / np.where(length > 0, length, 1.0), 9)
+    near[near < LEAST_COSINE] = 0.0
+    np.fill_diagonal(near, 1.0)
+    score = np.ones(len(words))
+    for _ in range(sweeps):
+        score = near @ score
+        score /= np.sqrt(score @ score)
+    best = np.lexsort((np.arange(len(words)), -np.round(score, 6)))[:n]
+    return [(int(i), float(score[i])) for i in sorted(best)]
+
+
+def _ranked_in_rows(docs: DataFrame, n: int, sweeps: int) -> DataFrame:
+    """lexrank of docs (doc_id, parts) whose sentence graphs fit a task: each is made and ranked with its row, and nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_central(words.as_py(), n, sweeps) for words in b.column("words")]  # a row at a time as Python objects
+            top = pa.array([[{"place": i, "score": x} for i, x in row] for row in found], pa.list_(pa.struct([("place", pa.int32()), ("score", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("parts"), top], ["doc_id", "parts", "top"])
+
+    words = F.transform("parts", lambda s: F.filter(tokens(s), lambda w: F.char_length(w) >= LEAST_CHARS))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", "parts", words.alias("words")).mapInArrow(run, f"doc_id {kind}, parts array<string>, top array<struct<place: int, score: double>>")
+    return out.select("doc_id", "parts", F.inline("top")).select("doc_id", "place", F.get("parts", F.col("place")).alias("sentence"), "score")
+
+
+def lexrank(docs: DataFrame, n: int = 10, sweeps: int = POWER) -> DataFrame:
+    """doc_id, place, sentence, score of the n most central sentences of each document, in their order; all of a document of n or fewer.
+
+    Eigenvector centrality of the sentence graph of each document.  A graph of
+    up to ROW_SENTENCES sentences is made and ranked in the document's row;
+    those of longer texts are tables, ranked in joint rounds: one join and one
+    sum a round, whatever the number of documents.  A sentence keeps its own
+    score beside what its neighbours give, which leaves the eigenvector as it
+    is and stops graphs of two sides from swinging.  A document without an
+    edge has equal scores.
+    """
+    split = docs.where("text is not null").select("doc_id", _parts().alias("parts")).where(F.size("parts") > 0)
+    short = _ranked_in_rows(split.where(F.size("parts") <= ROW_SENTENCES), n, sweeps)
+    long_ = written(split.where(F.size("parts") > ROW_SENTENCES).select("doc_id", F.posexplode("parts").alias("place", "sentence")), "sentences")
+    return short if long_.isEmpty() else short.union(_ranked_in_rounds(long_, n, sweeps))

@@ -81,3 +81,17 @@ def test_lexrank(spark):
     for r in communities.lexrank(spark.createDataFrame(rows, "doc_id long, text string"), 3).orderBy("doc_id", "place").collect():
         got.setdefault(r.doc_id, []).append((r.place, r.sentence))
     assert got == {i: [(k, s[k]) for k in central(s, 3)] for i, s in docs.items()}
+
+
+def test_lexrank_in_rows_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(" ".join(rng.choices("abc bcd cde def efg fgh ghi x".split(), k=rng.randint(1, 5))) + "." for _ in range(rng.randint(1, 12)))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    took = []
+    rounds = communities._ranked_in_rounds
+    monkeypatch.setattr(communities, "_ranked_in_rounds", lambda *a: took.append(1) or rounds(*a))
+    key = lambda df: sorted((r.doc_id, r.place, r.sentence, round(r.score, 6)) for r in df.collect())
+    whole = key(communities.lexrank(docs, 3))
+    assert not took
+    monkeypatch.setattr(communities, "ROW_SENTENCES", 4)
+    assert key(communities.lexrank(docs, 3)) == whole and took
