@@ -66,3 +66,9 @@ def test_drained_twice(spark, tmp_path):
     until = max(e[1] for e in second) - timedelta(hours=2)
     assert counted() == plain(first + second, until)  # the late row is in no pair, its bucket was folded before
     assert counted() == plain(first + second, until)  # nothing new
+
+
+def test_entities_of_one_key_make_no_pairs():
+    at = np.array([0, 60, 30, 90, 120]) * 1_000_000
+    got = cs.pairs_of(at, np.arange(5), np.array(list("aabbc"), dtype=object), np.ones(5, dtype=bool), np.array(["u", "u", "v", "v", "w"], dtype=object))
+    assert sorted(map(tuple, got.itertuples(index=False))) == [("a", "a", 1, 1), ("b", "b", 1, 1)]
