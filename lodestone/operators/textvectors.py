@@ -110,12 +110,15 @@ class Pooling:
         """doc_id, hits (distinct words with a vector), along (share of the mean direction) and v (map of place and value):
         the idf-weighted sum over distinct words, of length 1, less the mean direction, of length 1 again; null where nothing is left."""
         words = docs.where("text is not null").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        vectors = written(self.terms.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("dim", "value")).alias("v")), "vectors")
-        met = written(words.join(if_small(vectors, 20_000), "term"), "met")
-        sums = met.select("doc_id", "idf", F.inline("v")).groupBy("doc_id", "dim").agg(F.sum(F.col("idf") * F.col("value")).alias("s"))
+        dims = sorted(r.dim for r in self.terms.select("dim").distinct().collect())  # dimension rows
+        own = [F.coalesce(F.max(F.when(F.col("dim") == d, F.col("value"))), F.lit(0)).alias(f"v{d}") for d in dims]
+        vectors = written(self.terms.groupBy("term").agg(F.first("idf").alias("idf"), *own), "vectors")
+        met = words.join(if_small(vectors, 20_000), "term")
+        sums = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), *(F.sum(F.col("idf") * F.col(f"v{d}")).alias(f"s{d}") for d in dims))
         mean = F.create_map(*(F.lit(x) for pair in self.mean.items() for x in pair)) if self.mean else F.expr("map()").cast("map<int,double>")
-        hits = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
-        each = sums.groupBy("doc_id").agg(F.collect_list(F.struct("dim", "s")).alias("s"))  # dimension entries at most
+        places = F.array(*(F.struct(F.lit(d).alias("dim"), F.col(f"s{d}").alias("s")) for d in dims)) if dims else F.array().cast("array<struct<dim:int,s:double>>")
+        each = written(sums.select("doc_id", "hits", places.alias("s")), "pooled")
+        hits = each.select("doc_id", "hits")
         length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["s"] * x["s"]))
         first = each.select("doc_id", F.when(length > 1e-12, F.map_from_entries(F.transform("s", lambda x: F.struct(x["dim"], x["s"] / length)))).alias("u"))
         along = first.withColumn("mean", mean).withColumn("along", F.aggregate(F.map_entries("u"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at("mean", e["key"]), F.lit(0.0))))
