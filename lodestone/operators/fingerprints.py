@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.storage import written
+from lodestone.operators.storage import if_small
 
 # fixed values: the width of a shingle, the salts of the four blocks, start and prime of the hash
 WIDTH = 3
@@ -73,29 +73,16 @@ def content_fingerprints(docs: DataFrame, id_column: str, text_column: str) -> D
 def near(prints: DataFrame, probes: DataFrame, id_column: str, most: int = 31) -> DataFrame:
     """(probe, id, distance) of fingerprints that differ in at most `most` (0 to 31) of 256 bits from a probe's; probes are (probe, b0..b3).
 
-    Exact: the bits are cut into 16 parts of 16, and of two such fingerprints
-    one part differs in one bit at most.  So a probe asks for its 16 parts and
-    for each with one bit turned, a row only for its own 16; both sides are
-    distinct fingerprints first, hence copies cost nothing until the end.  The
-    all-zero fingerprint (no shingle) takes no part.
+    Exact: every row meets every probe, and only near pairs leave the join.
+    Nothing is shuffled, so the disk holds no more than the fingerprints.
+    Meeting at equal parts of the bits saves nothing here: the votes of prose
+    in one language lean one way, so that parts are shared by most texts.
+    Probes are broadcast up to BROADCAST_ROWS, beyond it the sides meet
+    partition by partition.  The all-zero fingerprint (no shingle) takes no part.
     """
     if not 0 <= most <= 31:
-        raise ValueError("at most 31 bits: 16 parts that differ in two bits each already make 32")
+        raise ValueError("at most 31 bits of 256 count as near")
     some = " OR ".join(f"{b} <> 0" for b in BLOCKS)
-    one = prints.where(some)
-    asked = probes.where(some)
-    kinds = written(one.select(*BLOCKS).distinct(), "prints")
-
-    def parts() -> list[Column]:
-        return [F.struct(F.lit(4 * i + j).alias("part"), F.shiftrightunsigned(F.col(b), 16 * j).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("value")) for i, b in enumerate(BLOCKS) for j in range(4)]
-
-    rows = kinds.select(*BLOCKS, F.inline(F.array(*parts())))
-    turned = F.array(F.lit(0), *(F.lit(1 << i) for i in range(16 if most > 15 else 0)))
-    probe = asked.select(*(F.col(b).alias(f"p{b[1]}") for b in BLOCKS), *BLOCKS).distinct()
-    wanted = probe.select(*(f"p{i}" for i in range(4)), F.inline(F.array(*parts()))).withColumn("turn", F.explode(turned))
-    wanted = wanted.select("p0", "p1", "p2", "p3", "part", F.col("value").bitwiseXOR(F.col("turn")).alias("value"))
+    asked = if_small(probes.where(some).select("probe", *(F.col(b).alias(f"p{b[1]}") for b in BLOCKS)))
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"p{i}"))) for i in range(1, 4)), F.bit_count(F.col("b0").bitwiseXOR(F.col("p0"))))
-    met = rows.join(wanted, ["part", "value"]).withColumn("distance", apart).where(F.col("distance") <= most)
-    pairs = met.select("p0", "p1", "p2", "p3", *BLOCKS, "distance").distinct()
-    who = asked.select("probe", *(F.col(b).alias(f"p{b[1]}") for b in BLOCKS))
-    return pairs.join(who, ["p0", "p1", "p2", "p3"]).join(one.select(id_column, *BLOCKS), list(BLOCKS)).select("probe", id_column, "distance")
+    return prints.where(some).select(id_column, *BLOCKS).join(asked, apart <= most).select("probe", id_column, apart.alias("distance"))

@@ -75,3 +75,10 @@ def test_hamming_join_is_exact(spark, most):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     with pytest.raises(ValueError, match="31"):
         fp.near(f, f, "id", 32)
+
+
+def test_hamming_join_shuffles_no_pairs(spark):
+    f = spark.range(200).selectExpr("id", "id + 1 AS b0", "0L AS b1", "0L AS b2", "0L AS b3")
+    found = fp.near(f, f.where("id % 10 = 0").withColumnRenamed("id", "probe"), "id")
+    assert found.count() == 200 * 20
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().toString()
