@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.operators.storage import written
+from lodestone.operators.storage import if_small, written
 
 
 def lag_matrix(pairs: DataFrame, gap: str = "gap") -> DataFrame:
@@ -62,22 +62,20 @@ def group_cohesion(vectors: DataFrame, group: str, item: str, vector: str, thres
     return each.join(m, group).select(group, item, "cohesion", ((F.col("_n") >= smallest) & (z <= -threshold)).alias("outlier"))
 
 
-def restart_walk(edges: DataFrame, seeds: DataFrame, rounds: int, restart: float = 0.15) -> DataFrame:
-    """id, mass: the expected visits of a walk from the seeds (id) that starts again with the given chance, after so many steps.
+def restart_walk(near: DataFrame, seeds: DataFrame, rounds: int, restart: float = 0.15) -> DataFrame:
+    """id, mass: the expected visits of a walk from the seeds (id) over near (src, dsts) that starts again with the given chance, after so many steps.
 
-    What stands at a node without an edge starts again too.
+    What stands at a node without an edge starts again too.  Every round is written.
     """
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
     n = seeds.agg(F.count(F.lit(1)).alias("n"))
     start = written(seeds.join(F.broadcast(n)).select("id", (1.0 / F.col("n")).alias("own")), "walk")
     x = start.select("id", F.col("own").alias("mass"))
-    weighted = written(edges.join(degree, edges["src"] == degree["id"]).select("src", "dst", "deg"), "walk")
-    for i in range(rounds):
-        came = weighted.join(x, weighted["src"] == x["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum((1 - restart) * F.col("mass") / F.col("deg")).alias("came"))
+    for _ in range(rounds):
+        sent = near.join(if_small(x), near["src"] == x["id"]).select(((1 - restart) * F.col("mass") / F.size("dsts")).alias("sent"), F.explode("dsts").alias("id"))
+        came = written(sent.groupBy("id").agg(F.sum("sent").alias("came")), "walk")
         moved = came.agg(F.coalesce(F.sum("came"), F.lit(0.0)).alias("moved"))
         back = start.join(F.broadcast(moved)).select("id", (F.col("own") * (1 - F.col("moved"))).alias("back"))
         x = came.join(back, "id", "full").select("id", (F.coalesce("came", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("mass"))
-        x = written(x, "walk") if i % 3 == 2 else x
     return x
 
 

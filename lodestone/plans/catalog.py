@@ -499,25 +499,22 @@ def g14_closure(t: Tables) -> DataFrame:
 
 def _trade(t: Tables) -> DataFrame:
     """Suppliers linked through the parts of one order."""
-    li = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
-    return mining.undirected(li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey"), "l_suppkey", "other")
+    return mining.sharing(t("lineitem"), "l_orderkey", "l_suppkey")
 
 
 @query()
 def g01_centrality(t: Tables) -> DataFrame:
-    return mining.eigenvector(mining.cut(_trade(t)), 6).select("id", r6("x").alias("centrality"))
+    return mining.eigenvector(mining.adjacency(_trade(t)), 6).select("id", r6("x").alias("centrality"))
 
 
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), e AS (SELECT DISTINCT a.s AS src, b.s AS dst FROM l a JOIN l b ON a.o = b.o AND a.s <> b.s), r AS (SELECT DISTINCT src AS id, src AS seen FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON r.seen = e.src) SELECT id, min(seen) AS community FROM r GROUP BY 1""")
 def g05_communities(t: Tables) -> DataFrame:
-    li = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
-    return mining.communities(mining.undirected(li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey"), "l_suppkey", "other"))
+    return mining.communities(_trade(t))
 
 
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), e AS (SELECT DISTINCT a.s AS src, b.s AS dst FROM l a JOIN l b ON a.o = b.o AND a.s <> b.s), r AS (SELECT (SELECT min(src) FROM e) AS id, 0 AS hop UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON r.id = e.src WHERE r.hop < 3) SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY 1""")
 def j16_neighbourhood(t: Tables) -> DataFrame:
-    li = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
-    e = mining.undirected(li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey"), "l_suppkey", "other")
+    e = mining.cut(_trade(t))
     return mining.neighbourhood(e, e.agg(F.min("src").alias("id")), 3)
 
 

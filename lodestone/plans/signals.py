@@ -194,8 +194,8 @@ _TRADE = "l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
 
 
 def _trade(t: Tables) -> DataFrame:
-    li = t("lineitem").select("l_orderkey", "l_suppkey").distinct()
-    return mining.cut(mining.undirected(li.join(li.select("l_orderkey", F.col("l_suppkey").alias("other")), "l_orderkey"), "l_suppkey", "other"))
+    """Suppliers and those that they share an order with: src, dsts."""
+    return mining.adjacency(mining.sharing(t("lineitem"), "l_orderkey", "l_suppkey"))
 
 
 def _central(rounds: int) -> str:
@@ -228,7 +228,7 @@ _SEEDS = "SELECT DISTINCT src AS id FROM e ORDER BY id LIMIT 3"
 
 def _walked(t: Tables, n: int) -> DataFrame:
     e = _trade(t)
-    return signals.restart_walk(e, e.select(F.col("src").alias("id")).distinct().orderBy("id").limit(n), 5)
+    return signals.restart_walk(e, e.select(F.col("src").alias("id")).orderBy("id").limit(n), 5)
 
 
 @query(f"{_walk(_SEEDS, 5)} SELECT id, round(m, 6) AS mass FROM x5")
@@ -249,7 +249,7 @@ QUERIES["q18_free_association"], ORACLES["q18_free_association"] = QUERIES["g04_
 @query(f"{_walk(_SEEDS, 5)} SELECT id, round(m, 6) AS mass, CASE WHEN id IN (SELECT id FROM s) THEN 'both' ELSE 'walk' END AS provenance FROM x5 ORDER BY mass DESC, id LIMIT 15")
 def q09_connected_recall(t: Tables) -> DataFrame:
     e = _trade(t)
-    seeds = e.select(F.col("src").alias("id")).distinct().orderBy("id").limit(3)
+    seeds = e.select(F.col("src").alias("id")).orderBy("id").limit(3)
     walked = signals.restart_walk(e, seeds, 5).join(F.broadcast(seeds.withColumn("anchor", F.lit(True))), "id", "left")
     return walked.select("id", r6("mass").alias("mass"), F.when(F.col("anchor"), "both").otherwise("walk").alias("provenance")).orderBy(F.desc("mass"), "id").limit(15)
 

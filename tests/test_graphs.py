@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lodestone.operators import closure, communities
+from lodestone.operators import closure, communities, mining, signals
 
 
 def reached(edges):
@@ -95,3 +95,22 @@ def test_lexrank_in_rows_and_in_rounds(spark, monkeypatch):
     assert not took
     monkeypatch.setattr(communities, "ROW_SENTENCES", 4)
     assert key(communities.lexrank(docs, 3)) == whole and took
+
+
+def test_rounds_over_an_adjacency(spark):
+    rows = [(1, 5), (1, 6), (1, 6), (2, 6), (2, 7), (2, None), (None, 5), (None, 7), (3, 8), (4, 5), (4, 6), (4, 7)]
+    edges = mining.sharing(spark.createDataFrame(rows, "g long, n long"), "g", "n")
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # rows once, pairs once
+    assert sorted(map(tuple, edges.collect())) == [(5, 6), (5, 7), (6, 5), (6, 7), (7, 5), (7, 6)]
+    one_way = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "src long, dst long")
+    near = mining.adjacency(one_way)
+    m = np.eye(4)
+    for a, b in ((0, 1), (0, 2), (1, 2), (2, 3)):
+        m[b, a] = 1
+    x = np.ones(4)
+    for _ in range(3):
+        x = m @ x / np.linalg.norm(m @ x)
+    got = {r.id: r.x for r in mining.eigenvector(near, 3).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == pytest.approx(x)
+    walked = {r.id: r.mass for r in signals.restart_walk(near, spark.createDataFrame([(1,)], "id long"), 2).collect()}
+    assert walked == pytest.approx({1: 0.15, 2: 0.06375, 3: 0.425, 4: 0.36125})
