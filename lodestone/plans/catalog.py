@@ -479,8 +479,7 @@ def g09_rules(t: Tables) -> DataFrame:
 
 @query(f"WITH i AS ({_ITEMS}), t AS (SELECT count(*) AS t FROM lineitem), r AS (SELECT row, list_sort(list(item)) AS v FROM i GROUP BY 1), s AS (SELECT v AS x, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT [v[a], v[b]], count(*) FROM r, (VALUES (1,2),(1,3),(2,3)) p(a, b) GROUP BY 1 UNION ALL SELECT [item], count(*) FROM i GROUP BY 1), k AS (SELECT x, n FROM s, t WHERE n >= ceil(0.05 * t)) SELECT array_to_string(list_filter(k.x, lambda z: z <> c.c), '&') AS antecedent, c.c AS consequent, round(k.n / t, 6) AS support, round(k.n / f.n, 6) AS confidence, round((k.n / f.n) / (o.n / t), 6) AS lift FROM k, LATERAL (SELECT unnest(k.x) AS c) c, t, k f, k o WHERE len(k.x) > 1 AND f.x = list_filter(k.x, lambda z: z <> c.c) AND o.x = [c.c]")
 def g10_itemset_rules(t: Tables) -> DataFrame:
-    li = t("lineitem").withColumn("row", F.monotonically_increasing_id())
-    out = mining.itemset_rules(li, "row", _COLS, 0.05)
+    out = mining.itemset_rules(t("lineitem"), _COLS, 0.05)
     return out.select("antecedent", "consequent", *(r6(c).alias(c) for c in ("support", "confidence", "lift")))
 
 

@@ -114,3 +114,22 @@ def test_rounds_over_an_adjacency(spark):
     assert [got[i] for i in (1, 2, 3, 4)] == pytest.approx(x)
     walked = {r.id: r.mass for r in signals.restart_walk(near, spark.createDataFrame([(1,)], "id long"), 2).collect()}
     assert walked == pytest.approx({1: 0.15, 2: 0.06375, 3: 0.425, 4: 0.36125})
+
+
+def test_itemsets_are_counted_from_combinations(spark):
+    from itertools import combinations
+
+    rng = random.Random(6)
+    rows = [tuple(rng.choice(["x", "y", "z", None, str(rng.randrange(50))]) for _ in range(4)) for _ in range(300)] + [(None,) * 4] * 20
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    want = Counter()
+    for r in rows:
+        held = sorted(f"{c}:{x}" for c, x in zip("abcd", r) if x is not None)
+        want.update(s for k in (1, 2, 3) for s in combinations(held, k))
+    sets, total = mining.frequent_itemsets(df, list("abcd"), 0.01)
+    assert total == 320 and {tuple(r["items"]): r.freq for r in sets.collect()} == {s: n for s, n in want.items() if n >= 4}
+    found = mining.itemset_rules(df, list("abcd"), 0.01).collect()
+    assert len(found) == sum(len(s) for s, n in want.items() if n >= 4 and len(s) > 1)
+    r = next(r for r in found if "&" in r.antecedent)
+    both = tuple(sorted([*r.antecedent.split("&"), r.consequent]))
+    assert r.support == want[both] / 320 and r.confidence == pytest.approx(want[both] / want[tuple(r.antecedent.split("&"))])
