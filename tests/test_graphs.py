@@ -133,3 +133,19 @@ def test_itemsets_are_counted_from_combinations(spark):
     r = next(r for r in found if "&" in r.antecedent)
     both = tuple(sorted([*r.antecedent.split("&"), r.consequent]))
     assert r.support == want[both] / 320 and r.confidence == pytest.approx(want[both] / want[tuple(r.antecedent.split("&"))])
+
+
+@pytest.mark.parametrize("carried", [64, 2])
+def test_subject_edges_are_made_once(spark, carried):
+    rng = random.Random(carried)
+    some = lambda n: rng.choice([None, *range(n)])
+    rows = [(some(40), some(8), some(40)) for _ in range(300)]
+    first = {}
+    for r, s, _ in rows:
+        if r is not None and s is not None:
+            first.setdefault(s, set()).add(r)
+    want = {(min(r, x), max(r, x)) for r, _, x in rows if None not in (r, x) and r != x}
+    want |= {(a, b) for held in first.values() for a in sorted(held)[:20] for b in sorted(held)[:20] if a < b}
+    edges = mining.subject_edges(spark.createDataFrame(rows, "r long, s long, t long"), "r", "s", "t", 20, carried)
+    got = sorted(map(tuple, edges.collect()))
+    assert got == sorted(want)
