@@ -9,8 +9,11 @@ from lodestone.operators.storage import discard, written
 
 
 def _composed(a: DataFrame, b: DataFrame) -> DataFrame:
-    """node, ancestor of a path of a and then one of b; none leads back to its start."""
-    return a.select("node", F.col("ancestor").alias("via")).join(b.select(F.col("node").alias("via"), "ancestor"), "via").where("node <> ancestor").select("node", "ancestor").distinct()
+    """node, ancestor of a path of a and then one of b; none leads back to its start.
+
+    Merged, not broadcast: a closure's file is a small part of its pairs in memory.
+    """
+    return a.select("node", F.col("ancestor").alias("via")).hint("merge").join(b.select(F.col("node").alias("via"), "ancestor"), "via").where("node <> ancestor").select("node", "ancestor").distinct()
 
 
 def ancestors(edges: DataFrame, most: int = 64) -> DataFrame:
@@ -26,7 +29,7 @@ def ancestors(edges: DataFrame, most: int = 64) -> DataFrame:
         if new.isEmpty():
             return every
         longer = _composed(new, every).union(_composed(every, new))
-        found = written(longer.distinct().join(every, ["node", "ancestor"], "left_anti"), "closure-new")
+        found = written(longer.distinct().join(every.hint("merge"), ["node", "ancestor"], "left_anti"), "closure-new")
         both = written(every.union(found), "closure")
         discard(every)
         every, new = both, found
@@ -45,9 +48,9 @@ def extended(stored: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
         if new.isEmpty():
             break
         on = new.union(_composed(new, stored))  # what a chain's end reaches
-        found = written(_composed(on, fresh).join(chains, ["node", "ancestor"], "left_anti"), "chains-new")
+        found = written(_composed(on, fresh).join(chains.hint("merge"), ["node", "ancestor"], "left_anti"), "chains-new")
         chains, new = written(chains.union(found), "chains"), found
     else:
         raise RuntimeError("the chains of new edges did not settle")
     up = chains.union(_composed(chains, stored)).distinct()
-    return up.union(_composed(stored, up)).distinct().join(stored, ["node", "ancestor"], "left_anti")
+    return up.union(_composed(stored, up)).distinct().join(stored.hint("merge"), ["node", "ancestor"], "left_anti")

@@ -149,3 +149,9 @@ def test_subject_edges_are_made_once(spark, carried):
     edges = mining.subject_edges(spark.createDataFrame(rows, "r long, s long, t long"), "r", "s", "t", 20, carried)
     got = sorted(map(tuple, edges.collect()))
     assert got == sorted(want)
+
+
+def test_closures_are_not_broadcast(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "node long, ancestor long")
+    plan = closure._composed(pairs, pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
