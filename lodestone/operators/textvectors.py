@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from lodestone.operators.storage import if_small, written
 
 #: Entries other than 0 of a context vector.
 SPARSE = 4
+#: Words of a batch that are added up at once, and places of a row of sums: 134 MB of sums at most.
+AT_ONCE, ACROSS = 524_288, 32
 
 
 def smoothed_idf(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -90,6 +96,48 @@ def context_vectors(pairs: DataFrame, dimension: int) -> DataFrame:
     return flat.groupBy("term", "dim").agg(F.sum(F.col("n") * F.col("sign")).alias("value")).where("value <> 0")
 
 
+def context_sums(docs: DataFrame, dimension: int, window: int = 2) -> DataFrame:
+    """What context_vectors gives for contexts(docs): term, dim, value; added up within a batch of texts, so no pair of words leaves its task.
+
+    Words are numbered batch by batch; a place is drawn once a word of a batch.
+    Sums go on as rows of ACROSS places a word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0)
+            coded = texts.flatten().dictionary_encode()
+            word, names = np.asarray(coded.indices), coded.dictionary
+            if not len(word):
+                continue
+            text = np.repeat(np.arange(len(texts)), np.asarray(texts.value_lengths()))
+            digests = [[hashlib.md5(f"{j}:{w}".encode()).hexdigest() for j in range(SPARSE)] for w in names.to_pylist()]
+            dims = np.array([[int(d[:6], 16) % dimension for d in ds] for ds in digests])
+            signs = np.array([[1 - 2 * (int(d[6], 16) % 2) for d in ds] for ds in digests])
+            for at in range(0, len(word), AT_ONCE):
+                held, own = np.unique(word[at : at + AT_ONCE], return_inverse=True)
+                here = np.arange(at, at + len(own))
+                for low in range(0, dimension, ACROSS):
+                    sums = np.zeros(len(held) * ACROSS)
+                    for step in (*range(-window, 0), *range(1, window + 1)):
+                        there = np.clip(here + step, 0, len(word) - 1)
+                        met = (here + step == there) & (text[there] == text[here])
+                        term, context = own[met] * ACROSS, word[there[met]]
+                        for j in range(SPARSE):
+                            place = dims[context, j] - low
+                            inside = (place >= 0) & (place < ACROSS)
+                            sums += np.bincount(term[inside] + place[inside], signs[context[inside], j], len(sums))
+                    sums = sums.reshape(-1, ACROSS).astype(np.int64)
+                    some = sums.any(axis=1)
+                    rows = pa.FixedSizeListArray.from_arrays(pa.array(sums[some].ravel()), ACROSS).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(held[some])), pa.array(np.full(some.sum(), low, np.int32)), rows], ["term", "low", "v"])
+
+    ws = docs.where("text is not null").select(tokens(F.col("text")).alias("ws")).where(F.size("ws") > 1)
+    sums = ws.mapInArrow(run, "term string, low int, v array<long>").groupBy("term", "low").agg(*(F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(ACROSS)))
+    places = F.array(*(F.struct((F.col("low") + j).alias("dim"), F.col(f"v{j}").alias("value")) for j in range(ACROSS)))
+    return sums.select("term", F.inline(places)).where("value <> 0")
+
+
 @dataclass
 class Pooling:
     """terms: term, idf, dim, value; mean: the unit direction of the corpus, dimension long at most, or empty."""
@@ -101,7 +149,7 @@ class Pooling:
     def fit(cls, docs: DataFrame, dimension: int, window: int = 2) -> Pooling:
         held = docs.where("text is not null")
         idf = smoothed_idf(held.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), held.count())
-        terms = written(context_vectors(contexts(docs, window), dimension).join(written(idf, "idf"), "term"), "terms")
+        terms = written(context_sums(docs, dimension, window).join(written(idf, "idf"), "term"), "terms")
         sums = terms.groupBy("dim").agg(F.sum(F.col("df") * F.col("idf") * F.col("value")).alias("s")).collect()  # dimension rows
         length = math.sqrt(sum(r.s**2 for r in sums))
         return cls(terms, {r.dim: r.s / length for r in sums} if length > 0 else {})

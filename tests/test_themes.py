@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import factors
-from lodestone.operators.textvectors import Latent, Pooling, context_vectors, contexts
+from lodestone.operators.textvectors import Latent, Pooling, context_sums, context_vectors, contexts
 
 
 def table(spark, m):
@@ -96,3 +96,12 @@ def test_themes_part_two_blocks(spark):
     got = {r["item"]: r.theme for r in factors.themes(spark.createDataFrame(pairs, "a string, b string, weight long"), 2).collect()}
     assert len({got[x] for x in "abc"}) == len({got[x] for x in "xyz"}) == 1 and got["a"] != got["x"]
     assert factors.themes(spark.createDataFrame([], "a string, b string, weight long"), 2).agg(F.count(F.lit(1))).first()[0] == 0
+
+
+@pytest.mark.parametrize("dimension", [16, 70])
+def test_context_sums_leave_no_pairs_to_shuffle(spark, dimension):
+    docs = spark.createDataFrame([*DOCS, (9, "a"), (10, "b b b"), (11, "é a é b")], "doc_id long, text string")
+    found = context_sums(docs, dimension)
+    plain = {(r.term, r.dim): r.value for r in context_vectors(contexts(docs), dimension).collect()}
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r.term, r.dim): r.value for r in found.collect()} == plain
