@@ -31,6 +31,8 @@ SAMPLE, LISTS = 16_384, 1_024
 ASKED, RECALL = 128, 0.95
 #: Vectors of a block; neighbours that recall is measured by.
 BLOCK_ROWS, NEAREST = 1_024, 10
+#: Asking vectors, once for each list they look into, that may be broadcast.
+ASKED_BYTES = 4 << 20
 _BLOCKS = "list int, n int, ids array<long>, data binary"
 
 
@@ -226,7 +228,8 @@ class VectorIndex:
 
         asked = usable(queries).mapInArrow(spread, "list int, vec_id long, embedding array<float>")
         asked = written(asked.repartition("list").sortWithinPartitions("list").mapInArrow(grouped, _BLOCKS).select("list", F.col("ids").alias("names"), F.col("data").alias("asked")), "asked")
-        met = self.living().select("list", "ids", "data", "dead").join(if_small(asked, 64), "list")
+        few = (asked.agg(F.sum(F.octet_length("asked"))).first()[0] or 0) <= ASKED_BYTES
+        met = self.living().select("list", "ids", "data", "dead").join(F.broadcast(asked) if few else asked.hint("merge"), "list")
         found = met.select("ids", "data", "dead", "names", "asked").mapInArrow(best, "query_id long, vec_id long, cosine double")
         order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import index, search
+from lodestone.operators import index, search, vector_index
 from lodestone.operators.vector_index import VectorIndex
 
 
@@ -93,6 +93,17 @@ def test_vector_index(spark, tmp_path, vectors):
     agree(left)
 
 
+def test_asking_vectors_are_not_broadcast_beyond_a_size(spark, tmp_path, vectors, monkeypatch):
+    schema = "vec_id long, embedding array<float>"
+    own = VectorIndex.create(spark.createDataFrame(list(vectors.items())[:300], schema), f"file://{tmp_path}/v", lists=8)
+    asked = spark.createDataFrame([(i, vectors[i]) for i in range(0, 300, 10)], schema)
+    few = own.search(asked, 5, 8)
+    monkeypatch.setattr(vector_index, "ASKED_BYTES", 0)
+    many = own.search(asked, 5, 8)
+    joins = ["BroadcastHashJoin" in x._jdf.queryExecution().executedPlan().toString() for x in (few, many)]
+    assert joins == [True, False] and sorted(few.collect()) == sorted(many.collect())
+
+
 def test_vector_index_of_nothing(spark, tmp_path):
     schema = "vec_id long, embedding array<float>"
     own = VectorIndex.create(spark.createDataFrame([(1, None)], schema), f"file://{tmp_path}/v")
