@@ -5,17 +5,17 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import tokens
-from lodestone.operators.factors import truncated_svd
-from lodestone.operators.search import postings
-from lodestone.operators.storage import if_small, written
+from lodestone.functions.scalars import counted, tokens
+from lodestone.operators.factors import BUCKETS, HEAD, Matrix, added, head_of, over, truncated_svd
+from lodestone.operators.storage import bucketed, if_small, written
 
 #: Entries other than 0 of a context vector.
 SPARSE = 4
@@ -29,6 +29,86 @@ def smoothed_idf(counts: DataFrame, n_docs: int) -> DataFrame:
     return held.withColumn("idf", F.greatest(F.lit(0.0), F.log((F.lit(n_docs) + 1) / (F.col("df") + 1))))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (doc_id), ws, tf of docs (doc_id, text): each document's words; rows of one id are one, with tf times each distinct word (else null)."""
+    words = docs.where("text is not null").select(F.col("doc_id").alias("row"), tokens(F.col("text")).alias("ws"))
+    if words.groupBy("row").count().where("count > 1").isEmpty():
+        return words.withColumn("tf", F.lit(None).cast("array<long>"))
+    cells = words.select("row", F.inline_outer(counted(F.col("ws")))).groupBy("row", "term").agg(F.sum("tf").alias("tf"))
+    held = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+    return cells.groupBy("row").agg(held.alias("c")).select("row", F.col("c.term").alias("ws"), F.col("c.tf").alias("tf"))
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """item, df, idf of docs' words: a task counts before anything is shuffled."""
+    held = docs.where("text is not null")
+    words = held.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return smoothed_idf(words, held.count()).select(F.col("term").alias("item"), "df", "idf")
+
+
+def coded(words: DataFrame, names: pa.Array) -> DataFrame:
+    """row, ids, values, rest, counts of words (row, ws, tf): how often each distinct word stands in a row, by its place in names or, not of them, by itself."""
+    sent = words.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = b.column(1).flatten().dictionary_encode()
+            size = max(1, len(flat.dictionary))
+            cell = np.repeat(np.arange(b.num_rows), np.asarray(b.column(1).value_lengths())) * size + np.asarray(flat.indices)
+            own, at = np.unique(cell, return_inverse=True)
+            times = np.ones(len(cell)) if b.column(2).null_count else np.asarray(b.column(2).flatten(), float)
+            tf, row, word = np.bincount(at, times, len(own)).astype(float), own // size, own % size
+            place = np.asarray(pc.index_in(flat.dictionary, sent.value).fill_null(-1)) if len(sent.value) else np.full(size, -1)
+            known = place[word] >= 0
+            lists = lambda pick, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.bincount(row[pick], minlength=b.num_rows).cumsum())).astype(np.int32)), values)
+            columns = [lists(known, pa.array(place[word[known]].astype(np.int32))), lists(known, pa.array(tf[known])), lists(~known, flat.dictionary.take(pa.array(word[~known]))), lists(~known, pa.array(tf[~known]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["row", "ids", "values", "rest", "counts"])
+
+    kind = words.schema["row"].dataType.simpleString()
+    return words.mapInArrow(run, f"row {kind}, ids array<int>, values array<double>, rest array<string>, counts array<double>")
+
+
+def rare(rows: DataFrame, cols: DataFrame, least: int) -> DataFrame:
+    """row, item, tf, df, idf of the words of coded rows that are not of the head."""
+    cells = rows.select("row", F.inline(F.arrays_zip(F.col("rest").alias("item"), F.col("counts").alias("tf"))))
+    return cells.join(cols.where(F.col("df") < least), "item")
+
+
+def tf_idf(docs: DataFrame, most: int = HEAD) -> Matrix:
+    """The TF-IDF table of docs (doc_id, text): all of them, all words."""
+    cols = written(frequencies(docs), "cols")
+    least, head = head_of(cols, most)
+    names = head.column("item").combine_chunks()
+    rows = bucketed(coded(numbered(docs), names), "row", BUCKETS)
+    cells = rare(rows, cols, least).select("row", F.col("item").alias("col"), "df", (F.col("tf") * F.col("idf")).alias("value")).where("value <> 0")
+    rest = written(cells, "rest")
+    return Matrix(rows.select("row", "ids", "values"), rest.where("df > 1").drop("df"), rest.where("df = 1").drop("df"), cols, least, names, np.asarray(head.column("idf"), float))
+
+
+def weighted_sums(docs: DataFrame, most: int = HEAD) -> DataFrame:
+    """doc_id, terms, weight, squares: each document's distinct words, and the sums of their TF-IDF and of its squares."""
+    cols = written(frequencies(docs), "cols")
+    least, head = head_of(cols, most)
+    rows = written(coded(numbered(docs), head.column("item").combine_chunks()), "coded")
+    sent = docs.sparkSession.sparkContext.broadcast(np.asarray(head.column("idf"), float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = np.asarray(b.column(1).value_lengths())
+                row, x = np.repeat(np.arange(b.num_rows), n), np.asarray(b.column(2).flatten(), float) * sent.value[np.asarray(b.column(1).flatten(), int)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), *(pa.array(np.bincount(row, y, b.num_rows).astype(float)) for y in (x, x * x))], ["row", "terms", "weight", "squares"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    of_head = rows.select("row", "ids", "values").mapInArrow(run, f"row {kind}, terms long, weight double, squares double")
+    x = F.col("tf") * F.col("idf")
+    of_rest = rare(rows, cols, least).select("row", F.lit(1).cast("long").alias("terms"), x.alias("weight"), (x * x).alias("squares"))
+    sums = of_head.where("terms > 0").unionByName(of_rest).groupBy(F.col("row").alias("doc_id"))
+    return sums.agg(*(F.sum(c).alias(c) for c in ("terms", "weight", "squares")))
+
+
 def unit(v: Column) -> Column:
     """A vector of length 1, however short it was; of zeros, an empty one."""
     most = F.array_max(F.transform(v, lambda x: F.abs(x)))
@@ -42,31 +122,31 @@ def unit(v: Column) -> Column:
 
 @dataclass
 class Latent:
-    """idf: term, idf; terms: item, v (the term's place in the latent space); values: singular values."""
+    """table: what it is fitted on; head: the places of table.names in the latent space; terms: item, v of all terms; values: singular values."""
 
-    idf: DataFrame
+    table: Matrix
+    head: np.ndarray
     terms: DataFrame
     values: list[float]
     k: int
 
     @classmethod
-    def fit(cls, docs: DataFrame, rank: int, sweeps: int = 6) -> Latent:
-        """Of docs (doc_id, text): all of them, all words."""
-        counts = written(postings(docs.where("text is not null")), "postings")
-        n = docs.where("text is not null").count()
-        idf = written(smoothed_idf(counts, n).select("term", "idf"), "idf")
-        entries = counts.join(if_small(idf), "term").select(F.col("doc_id").alias("row"), F.col("term").alias("col"), (F.col("tf") * F.col("idf")).alias("value"))
-        found = truncated_svd(entries, rank, sweeps)
-        return cls(idf, found.right, found.values, len(found.values))
+    def fit(cls, docs: DataFrame, rank: int, sweeps: int = 6, most: int = HEAD) -> Latent:
+        """Of docs (doc_id, text): all of them, all words; most: words of the head."""
+        table = tf_idf(docs, most)
+        found = truncated_svd(table, rank, sweeps)
+        return cls(table, found.head, found.right, found.values, len(found.values))
 
     def embed(self, docs: DataFrame) -> DataFrame:
         """doc_id, v of every row: its words' places by weight, of length 1; empty where no word is known."""
-        rows = docs.select("doc_id", "text")
-        places = self.idf.join(self.terms.withColumnRenamed("item", "term"), "term").select("term", "idf", "v")
-        hits = postings(rows.where("text is not null")).join(if_small(written(places, "places"), 20_000), "term")
-        sums = hits.groupBy("doc_id").agg(*(F.sum(F.col("tf") * F.col("idf") * F.col("v")[j]).alias(f"s{j}") for j in range(self.k)))
-        made = sums.select("doc_id", unit(F.array(*(f"s{j}" for j in range(self.k)))).alias("v")) if self.k else sums.select("doc_id", F.array().cast("array<double>").alias("v"))
-        return rows.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.coalesce("v", F.array().cast("array<double>")).alias("v"))
+        rows, nowhere = docs.select("doc_id", "text"), F.array().cast("array<double>")
+        if not self.k:
+            return rows.select("doc_id", nowhere.alias("v"))
+        words = bucketed(coded(numbered(rows), self.table.names), "row", BUCKETS)
+        met = rare(words, self.table.cols, self.table.least).join(self.terms, "item")
+        rest = added(met.select("row", F.transform("v", lambda x: F.col("tf") * F.col("idf") * x).alias("v")), "row", self.k)
+        sums = over(replace(self.table, rows=words.select("row", "ids", "values")), self.head, rest)
+        return rows.select("doc_id").join(sums.select(F.col("item").alias("doc_id"), unit(F.col("v")).alias("v")), "doc_id", "left").select("doc_id", F.coalesce("v", nowhere).alias("v"))
 
 
 # --- random indexing ------------------------------------------------------------------------------------------------------

@@ -1,11 +1,13 @@
 """Truncated SVD, latent vectors, random indexing and non-negative factors against numpy."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import factors
-from lodestone.operators.textvectors import Latent, Pooling, context_sums, context_vectors, contexts
+from lodestone.operators.textvectors import Latent, Pooling, context_sums, context_vectors, contexts, weighted_sums
 
 
 def table(spark, m):
@@ -105,3 +107,52 @@ def test_context_sums_leave_no_pairs_to_shuffle(spark, dimension):
     plain = {(r.term, r.dim): r.value for r in context_vectors(contexts(docs), dimension).collect()}
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {(r.term, r.dim): r.value for r in found.collect()} == plain
+
+
+def test_svd_over_head_and_tail(spark):
+    """Whatever part of the columns is the head, two sweeps give the same."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(40, 30)) * (rng.random((40, 30)) < np.linspace(0.02, 0.6, 30))
+    m[7, 2:] = 0
+    entries = table(spark, m)
+    plain, parted = (factors.truncated_svd(entries, 4, sweeps=2, head=head) for head in (100, 6))
+    assert 0 < len(parted.head) <= 6 and len(plain.head) == len(set(np.nonzero(m)[1]))
+    assert parted.values == pytest.approx(plain.values, rel=1e-10)
+    for a, b in ((plain.left, parted.left), (plain.right, parted.right)):
+        a, b = ({r["item"]: r.v for r in x.collect()} for x in (a, b))
+        assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-9) for i in a)
+
+
+def test_svd_shuffles_no_rows_of_the_table(spark):
+    m = factors.matrix_of(table(spark, np.ones((30, 4))))
+    side = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(30)], "item long, v array<double>").hint("merge")
+    for plan in (factors.over(m, np.ones((4, 2)), side), factors.back(m, side, 2)):
+        tree = plan._jdf.queryExecution().executedPlan().toString()
+        assert "ids" not in "".join(x for x in tree.splitlines() if "Exchange" in x) and tree.count("Exchange hashpartitioning(row") == 1
+
+
+@pytest.mark.parametrize("head", [0, 4, 100])
+def test_weighted_sums(spark, head):
+    """Rows of one id are one document; each row counts for a word's frequency."""
+    rows = [*DOCS, (1, "cats and cats"), (1, None), (3, ""), (12, "é é e"), (13, "cheese")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = [(i, [w.lower() for w in t.replace(".", " ").split()]) for i, t in rows if t is not None]
+    df = Counter(w for _, ws in words for w in set(ws))
+    tf = Counter((i, w) for i, ws in words for w in ws)
+    expected = {}
+    for (i, w), n in tf.items():
+        x = n * max(0.0, np.log((len(words) + 1) / (df[w] + 1)))
+        a, b, c = expected.get(i, (0, 0.0, 0.0))
+        expected[i] = (a + 1, b + x, c + x * x)
+    got = {r.doc_id: (r.terms, r.weight, r.squares) for r in weighted_sums(docs, head).collect()}
+    assert got.keys() == expected.keys() and all(got[i] == pytest.approx(expected[i]) for i in got)
+    assert got == {r.doc_id: pytest.approx((r.terms, r.weight, r.squares)) for r in weighted_sums(docs.repartition(3), head).collect()}
+
+
+def test_latent_vectors_do_not_hang_on_the_head(spark):
+    docs = spark.createDataFrame([*DOCS, (9, "cats chase mice"), (9, "dogs")], "doc_id long, text string")
+    plain, parted = (Latent.fit(docs, 3, 2, most) for most in (100, 3))
+    assert parted.values == pytest.approx(plain.values)
+    of = lambda x: {r.doc_id: r.v for r in x.embed(docs).collect()}
+    a, b = of(plain), of(parted)
+    assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-6) for i in (1, 2, 9)), (a, b)  # a text outside of the space has a direction by rounding alone
